@@ -3,17 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sluiceway.llm import exact_dedup, langid, token_counts, toxicity
 from sluiceway.llm.common import LOCATOR, table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(langid.fold_of("doc_id", 4) == 2, F.lit(False))
+    model = langid.train(docs.where(~held))
+    return langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(langid.fold_of("doc_id", 5) == 0, F.lit(False))
+    model = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels").where(~held)))
+    return toxicity.score(docs.withColumn("held_out", held), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sluiceway.llm.exact_dedup import exact_groups
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop(*LOCATOR)
+
 
-    return exact_groups(table(spark, sf_dir, "documents")).drop(*LOCATOR)
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs).drop("text")
 
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op4_toxicity": op4_toxicity,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op10_token_counts": op10_token_counts,
+}
 
 ORACLE_SQL = {
     "op6_exact_dedup": r"""
