@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import exact_dedup, langid, token_counts, toxicity
+from sluiceway.llm import decontaminate, exact_dedup, langid, line_dedup, token_counts, toxicity
 from sluiceway.llm.common import LOCATOR, table
 
 
@@ -16,6 +16,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(langid.fold_of("doc_id", 5) == 0, F.lit(False))
@@ -27,6 +32,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop(*LOCATOR)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(docs, items).drop(*LOCATOR)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs).drop("text")
@@ -34,12 +44,66 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_line_dedup": op2_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL = {
+    "op2_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents
+), k AS (
+  SELECT doc_id, i, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS x FROM l
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), n AS (
+  SELECT doc_id, i, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, count(*) OVER (PARTITION BY doc_id) AS m FROM k
+), w AS (
+  SELECT a.doc_id, a.p, string_agg(b.x, chr(10) ORDER BY b.p) AS t
+  FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.p BETWEEN a.p AND a.p + 2
+  WHERE a.p <= greatest(a.m - 2, 1) GROUP BY 1, 2
+), f AS (
+  SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, p) AS r FROM w
+), gone AS (
+  SELECT DISTINCT n.doc_id, n.i FROM f JOIN n ON n.doc_id = f.doc_id AND n.p BETWEEN f.p AND f.p + 2 WHERE f.r > 1
+), c AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL) AS t, count(gone.i) AS n_removed
+  FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i GROUP BY 1
+)
+SELECT c.doc_id, coalesce(s.n, 0) AS n_lines, c.n_removed, sha256(coalesce(c.t, '')) AS text_sha256
+FROM c LEFT JOIN (SELECT doc_id, count(*) AS n FROM k GROUP BY 1) s ON s.doc_id = c.doc_id
+""",
+    "op7_decontaminate": r"""
+WITH dw AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents
+), bw AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark
+), bn AS (
+  SELECT item_id, ws, least(len(ws), 13) AS n FROM bw WHERE len(ws) > 0
+), win AS (
+  SELECT DISTINCT item_id, n, md5(array_to_string(ws[s:s + n - 1], ' ')) AS h
+  FROM (SELECT item_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS s FROM bn)
+), dwin AS (
+  SELECT doc_id, n, s, md5(array_to_string(ws[s:s + n - 1], ' ')) AS h
+  FROM (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS s
+        FROM dw, (SELECT DISTINCT n FROM bn) WHERE len(ws) >= n)
+), occ AS (
+  SELECT d.doc_id, d.s, d.n, w.item_id FROM dwin d JOIN win w ON w.h = d.h AND w.n = d.n
+), pos AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM occ) GROUP BY 1
+), it AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::varchar AS i FROM occ) GROUP BY 1
+)
+SELECT dw.doc_id, len(dw.ws)::bigint AS n_words, coalesce(pos.n_hit, 0) AS n_hit, coalesce(it.n_items, 0) AS n_items,
+       sha256(coalesce(it.ids, '')) AS items_sha256,
+       coalesce(pos.n_hit, 0) > 0 AND 20 * coalesce(pos.n_hit, 0) >= len(dw.ws) AS contaminated
+FROM dw LEFT JOIN pos ON pos.doc_id = dw.doc_id LEFT JOIN it ON it.doc_id = dw.doc_id
+""",
     "op6_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
