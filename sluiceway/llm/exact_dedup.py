@@ -20,8 +20,12 @@ from pyspark.sql import functions as F
 from sluiceway.llm.common import FILE, LOCATOR, ROW, located, scratch_path, stored
 
 WHITE = r"[\x20\x09-\x0D]+"
-_STATE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; commits write a change log, and files aren't allocated ahead of what they hold.
+_STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -51,8 +55,9 @@ class DedupState:
 
     def run(self, schema) -> None:
         spark, out = self.spark, f"{self.path}/out"
-        before = spark.conf.get(_STATE, None)
-        spark.conf.set(_STATE, _ROCKS)
+        before = {k: spark.conf.get(k, None) for k in _STATE_CONF}
+        for k, v in _STATE_CONF.items():
+            spark.conf.set(k, v)
         try:
             stream = (
                 spark.readStream.schema(schema)
@@ -77,7 +82,8 @@ class DedupState:
             )
             query.awaitTermination()
         finally:
-            spark.conf.unset(_STATE) if before is None else spark.conf.set(_STATE, before)
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
     def entries(self) -> DataFrame:
         """The latest entry of each digest: digest, first, group_size."""
