@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import decontaminate, exact_dedup, langid, line_dedup, token_counts, toxicity
+from sluiceway.llm import decontaminate, exact_dedup, langid, line_dedup, mixing, token_counts, toxicity
 from sluiceway.llm.common import LOCATOR, table
 
 
@@ -37,6 +37,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, items).drop(*LOCATOR)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source")).drop(*LOCATOR)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs).drop("text")
@@ -48,6 +52,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
 
