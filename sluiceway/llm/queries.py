@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import decontaminate, exact_dedup, langid, line_dedup, mixing, token_counts, toxicity
+from sluiceway.llm import decontaminate, exact_dedup, langid, line_dedup, mixing, secret_scan, token_counts, toxicity
 from sluiceway.llm.common import LOCATOR, table
 
 
@@ -21,6 +21,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents")).drop(*LOCATOR)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(langid.fold_of("doc_id", 5) == 0, F.lit(False))
@@ -49,6 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_decontaminate": op7_decontaminate,
