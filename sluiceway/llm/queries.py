@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import decontaminate, exact_dedup, langid, line_dedup, mixing, secret_scan, token_counts, toxicity
+from sluiceway.llm import decontaminate, exact_dedup, langid, line_dedup, mixing, pii, secret_scan, token_counts, toxicity
 from sluiceway.llm.common import LOCATOR, table
 
 
@@ -32,6 +32,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.withColumn("held_out", held), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents"))).drop(*LOCATOR)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop(*LOCATOR)
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_toxicity": op4_toxicity,
+    "op5_pii": op5_pii,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op9_mixing": op9_mixing,
