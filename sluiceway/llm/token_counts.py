@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 ZIPF_SHIFT = 2.7
-MAX_NODES = 400_000
+MAX_NODES = 700_000
 
 
 def load_pieces(path: str = DEFAULT_VOCABULARY) -> dict[str, float]:
@@ -44,10 +44,20 @@ def load_pieces(path: str = DEFAULT_VOCABULARY) -> dict[str, float]:
 
 
 class PreTokenTrie:
-    """Trie of pre-tokens; ``counts[pre_token]`` is its terminal count."""
+    """Trie of pre-tokens; ``counts[pre_token]`` is its terminal count.
+
+    A new pre-token walks the nodes it shares with earlier ones, whose forward scores stand, and
+    extends the trie from there: pieces are walked in a trie of the vocabulary, and each piece that
+    ends beyond the shared prefix offers its path to the node where it ends.
+    """
 
     def __init__(self, pieces: dict[str, float], max_nodes: int = MAX_NODES):
-        self.pieces = pieces
+        self.pieces: dict = {}
+        for piece, score in pieces.items():
+            state = self.pieces
+            for char in piece:
+                state = state.setdefault(char, {})
+            state[None] = score
         self.longest = max(map(len, pieces), default=1)
         self.byte_score = min(pieces.values(), default=0.0) - 10.0
         self.max_nodes = max_nodes
@@ -62,28 +72,40 @@ class PreTokenTrie:
     def count(self, pre_token: str) -> int:
         if len(self.children) > self.max_nodes:
             self.clear()
-        node, path = 0, [self.forward[0]]
-        for end, char in enumerate(pre_token, 1):
-            child = self.children[node].get(char)
+        children, forward = self.children, self.forward
+        node, best = 0, [forward[0]]
+        for char in pre_token:
+            child = children[node].get(char)
             if child is None:
-                child = len(self.children)
-                self.children[node][char] = child
-                self.children.append({})
-                self.forward.append(self._best(pre_token, end, path))
-            path.append(self.forward[child])
+                break
             node = child
-        return -self.forward[node][1]
-
-    def _best(self, pre_token: str, end: int, path: list[tuple[float, int]]) -> tuple[float, int]:
-        n_bytes = len(pre_token[end - 1].encode("utf-8", "surrogatepass"))
-        score, minus = path[end - 1]
-        best = (score + n_bytes * self.byte_score, minus - n_bytes)
-        for start in range(max(0, end - self.longest), end):
-            piece = self.pieces.get(pre_token[start:end])
-            if piece is not None:
-                score, minus = path[start]
-                best = max(best, (score + piece, minus - 1))
-        return best
+            best.append(forward[node])
+        shared, size = len(best) - 1, len(pre_token)
+        if shared == size:
+            return -best[-1][1]
+        best += [(float("-inf"), 0)] * (size - shared)
+        for start in range(max(0, shared + 1 - self.longest), size):
+            score, minus = best[start]
+            if start >= shared:  # the character by its bytes
+                n_bytes = len(pre_token[start].encode("utf-8", "surrogatepass"))
+                offer = (score + n_bytes * self.byte_score, minus - n_bytes)
+                if offer > best[start + 1]:
+                    best[start + 1] = offer
+            state, end, minus = self.pieces, start, minus - 1
+            while end < size:
+                state = state.get(pre_token[end])
+                if state is None:
+                    break
+                end += 1
+                if end > shared and (piece := state.get(None)) is not None:
+                    offer = (score + piece, minus)
+                    if offer > best[end]:
+                        best[end] = offer
+        for end in range(shared, size):
+            children[node][pre_token[end]] = node = len(children)
+            children.append({})
+            forward.append(best[end + 1])
+        return -best[size][1]
 
 
 class _Terminals(dict):
@@ -92,15 +114,25 @@ class _Terminals(dict):
         self.trie = trie
 
     def __missing__(self, word: str) -> int:
-        if len(word) > 256:  # counted, but long ones aren't worth keeping
-            return self.trie.count(MARK + word)
-        if len(self) > self.trie.max_nodes:
-            self.clear()
         n = self.trie.count(MARK + word)
-        self[word] = n
+        if len(word) <= 64:  # longer ones aren't worth keeping
+            if len(self) > self.trie.max_nodes:
+                self.clear()
+            self[word] = n
         return n
 
 
+#: Tries of this worker process by the broadcast they were made from; a worker serves many tasks.
+_TRIES: dict[int, PreTokenTrie] = {}
+
+
+def worker_trie(shipped, max_nodes: int) -> PreTokenTrie:
+    if shipped.id not in _TRIES:
+        _TRIES.clear()
+        _TRIES[shipped.id] = PreTokenTrie(shipped.value, max_nodes)
+    return _TRIES[shipped.id]
+
+
 def count_tokens(docs: DataFrame, pieces: dict[str, float] | None = None, vocabulary: str = DEFAULT_VOCABULARY,
                  max_nodes: int = MAX_NODES) -> DataFrame:
     """``docs`` with n_pretokens and n_tokens; the vocabulary is read by the driver and broadcast (bounded by its file)."""
@@ -108,7 +140,7 @@ def count_tokens(docs: DataFrame, pieces: dict[str, float] | None = None, vocabu
 
     @F.pandas_udf("struct<n_pretokens: long, n_tokens: long>")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        lookup = PreTokenTrie(shipped.value, max_nodes).counts.__getitem__
+        lookup = worker_trie(shipped, max_nodes).counts.__getitem__
         for texts in batches:
             found = [(len(w := (t or "").split()), sum(map(lookup, w))) for t in texts]
             yield pd.DataFrame(found, columns=["n_pretokens", "n_tokens"])
