@@ -58,21 +58,43 @@ class Model:
         for n in LENGTHS:
             found = [v for g in grams(word, n) if (v := self.tables[n].get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return sum(found[1:], found[0]) / len(found)
         return np.zeros(len(self.languages))
 
 
-class _Cache(dict):
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
+class WordRows(dict):
+    """word -> row of ``scores``; filled as words come, and emptied between texts when it is full."""
 
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) > CACHE:
+    def __init__(self, model: Model, size: int = CACHE):
+        super().__init__()
+        self.model, self.size = model, size
+        self.scores = np.zeros((size, len(model.languages)))
+
+    def __missing__(self, word: str) -> int:
+        row = len(self)
+        if row == len(self.scores):  # one text has more new words than there is room for
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        self.scores[row] = self.model.word_scores(word)
+        self[word] = row
+        return row
+
+    def total(self, found: list[str]) -> np.ndarray:
+        if len(self) > self.size // 2:
             self.clear()
-        out = self.model.word_scores(word)
-        self[word] = out
-        return out
+            self.scores = self.scores[: self.size]
+        rows = np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))
+        return self.scores[rows].sum(axis=0)
+
+
+#: Word rows of this worker process by the broadcast of their model; a worker serves many tasks.
+_ROWS: dict[int, WordRows] = {}
+
+
+def worker_rows(shipped) -> WordRows:
+    if shipped.id not in _ROWS:
+        _ROWS.clear()
+        _ROWS[shipped.id] = WordRows(shipped.value)
+    return _ROWS[shipped.id]
 
 
 def bounded_sample(rows: DataFrame, max_rows: int, *key: str) -> DataFrame:
@@ -131,7 +153,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("struct<lang_pred: string, score: double>")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shipped.value
-        lookup = _Cache(m).__getitem__
+        known = worker_rows(shipped)
         for texts in batches:
             out = []
             for text in texts:
@@ -139,7 +161,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 if not found:
                     out.append((UNKNOWN, 0.0))
                     continue
-                total = m.prior + np.sum([lookup(w) * k for w, k in Counter(found).items()], axis=0)
+                total = m.prior + known.total(found)
                 best = int(np.argmax(total))
                 out.append((m.languages[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
