@@ -17,6 +17,7 @@ from __future__ import annotations
 
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -86,15 +87,15 @@ class WordRows(dict):
         return self.scores[rows].sum(axis=0)
 
 
-#: Word rows of this worker process by the broadcast of their model; a worker serves many tasks.
-_ROWS: dict[int, WordRows] = {}
+#: Word rows of this worker process by the call they were made for; a worker serves many tasks.
+_ROWS: dict[str, WordRows] = {}
 
 
-def worker_rows(shipped) -> WordRows:
-    if shipped.id not in _ROWS:
+def worker_rows(key: str, shipped) -> WordRows:
+    if key not in _ROWS:
         _ROWS.clear()
-        _ROWS[shipped.id] = WordRows(shipped.value)
-    return _ROWS[shipped.id]
+        _ROWS[key] = WordRows(shipped.value)
+    return _ROWS[key]
 
 
 def bounded_sample(rows: DataFrame, max_rows: int, *key: str) -> DataFrame:
@@ -148,12 +149,12 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS, max_entries: int = MAX_ENTR
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score; only the text is looked at."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    key, shipped = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shipped.value
-        known = worker_rows(shipped)
+        known = worker_rows(key, shipped)
         for texts in batches:
             out = []
             for text in texts:

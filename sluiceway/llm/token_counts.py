@@ -17,6 +17,7 @@ trie is emptied when it has grown to ``max_nodes``: that bounds memory and chang
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -122,25 +123,25 @@ class _Terminals(dict):
         return n
 
 
-#: Tries of this worker process by the broadcast they were made from; a worker serves many tasks.
-_TRIES: dict[int, PreTokenTrie] = {}
+#: Tries of this worker process by the call they were made for; a worker serves many tasks.
+_TRIES: dict[str, PreTokenTrie] = {}
 
 
-def worker_trie(shipped, max_nodes: int) -> PreTokenTrie:
-    if shipped.id not in _TRIES:
+def worker_trie(key: str, shipped, max_nodes: int) -> PreTokenTrie:
+    if key not in _TRIES:
         _TRIES.clear()
-        _TRIES[shipped.id] = PreTokenTrie(shipped.value, max_nodes)
-    return _TRIES[shipped.id]
+        _TRIES[key] = PreTokenTrie(shipped.value, max_nodes)
+    return _TRIES[key]
 
 
 def count_tokens(docs: DataFrame, pieces: dict[str, float] | None = None, vocabulary: str = DEFAULT_VOCABULARY,
                  max_nodes: int = MAX_NODES) -> DataFrame:
     """``docs`` with n_pretokens and n_tokens; the vocabulary is read by the driver and broadcast (bounded by its file)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(load_pieces(vocabulary) if pieces is None else pieces)
+    key, shipped = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(load_pieces(vocabulary) if pieces is None else pieces)
 
     @F.pandas_udf("struct<n_pretokens: long, n_tokens: long>")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        lookup = worker_trie(shipped, max_nodes).counts.__getitem__
+        lookup = worker_trie(key, shipped, max_nodes).counts.__getitem__
         for texts in batches:
             found = [(len(w := (t or "").split()), sum(map(lookup, w))) for t in texts]
             yield pd.DataFrame(found, columns=["n_pretokens", "n_tokens"])
