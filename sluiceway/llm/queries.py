@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import decontaminate, exact_dedup, langid, line_dedup, mixing, pii, secret_scan, token_counts, toxicity
+from sluiceway.llm import decontaminate, exact_dedup, langid, line_dedup, mixing, near_dup, pii, secret_scan, token_counts, toxicity
 from sluiceway.llm.common import LOCATOR, table
 
 
@@ -45,6 +45,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, items).drop(*LOCATOR)
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_classes(table(spark, sf_dir, "documents")).drop(*LOCATOR)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source")).drop(*LOCATOR)
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
