@@ -175,11 +175,11 @@ def q15_fan_in_list(t):
 
 @query("""
 WITH x AS (SELECT l_orderkey, l_returnflag, (l_extendedprice * (1 - l_discount))::decimal(18, 4) AS net FROM lineitem)
-SELECT l_orderkey, sum(net)::decimal(38, 4) AS total, count(*) FILTER (l_returnflag = 'R') AS returned FROM x GROUP BY 1""")
+SELECT l_orderkey, sum(net)::decimal(38, 4)::double AS total, count(*) FILTER (l_returnflag = 'R') AS returned FROM x GROUP BY 1""")
 def q16_shared_upstream(t):
     shared = t("lineitem").select("l_orderkey", "l_returnflag", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)").alias("net"))
     # both readers of the shared node need the same grouping: one shuffle serves them
-    return shared.groupBy("l_orderkey").agg(F.sum("net").cast("decimal(38,4)").alias("total"), F.count_if(F.col("l_returnflag") == "R").alias("returned"))
+    return shared.groupBy("l_orderkey").agg(F.sum("net").cast("double").alias("total"), F.count_if(F.col("l_returnflag") == "R").alias("returned"))
 
 
 BRANCH = """spec branch = { description = "route by kind"; model = stub ""; data_policy = Any; capabilities = [];
@@ -202,12 +202,12 @@ def branched(t, route: str) -> tuple:
 
 @query("""
 SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'other' END AS route, count(*) AS n,
-       sum((CASE WHEN event_type = 'error' THEN -value ELSE value END)::decimal(18, 4))::decimal(38, 4) AS total FROM events GROUP BY 1""")
+       sum((CASE WHEN event_type = 'error' THEN -value ELSE value END)::decimal(18, 4))::decimal(38, 4)::double AS total FROM events GROUP BY 1""")
 def q17_branch_route(t):
     graph, done = branched(t, "if(event_type = 'error', 'error', 'other')")
     route = F.when(F.col("s_on_error"), "other").otherwise("error")
     value = F.coalesce(*[F.try_variant_get(F.col(f"{result_column(n)}.output"), "$.value", "double") for n in ("on_error", "on_other")])
-    return done.groupBy(route.alias("route")).agg(F.count(F.lit(1)).alias("n"), F.sum(value.cast("decimal(18,4)")).cast("decimal(38,4)").alias("total"))
+    return done.groupBy(route.alias("route")).agg(F.count(F.lit(1)).alias("n"), F.sum(value.cast("decimal(18,4)")).cast("double").alias("total"))
 
 
 @query("""
@@ -255,17 +255,17 @@ def q21_loop_exhaustion(t):
     return looped(t, 3).where(F.col("failure.code") == "schema_validation_failed").select(F.col("job_id").alias("event_id"))
 
 
-@query("SELECT event_id, 'completed' AS status, (CASE WHEN event_type = 'error' THEN -value ELSE value END)::decimal(18, 4) AS result FROM events")
+@query("SELECT event_id, 'completed' AS status, (CASE WHEN event_type = 'error' THEN -value ELSE value END)::decimal(18, 4)::double AS result FROM events")
 def q22_last_live_output(t):
     graph, done = branched(t, "if(event_type = 'error', 'error', 'other')")
     rows = envelopes(graph, done)
-    return rows.select(F.col("job_id").alias("event_id"), "status", F.try_variant_get("result", "$.value", "double").cast("decimal(18,4)").alias("result"))
+    return rows.select(F.col("job_id").alias("event_id"), "status", F.try_variant_get("result", "$.value", "double").cast("decimal(18,4)").cast("double").alias("result"))
 
 
-@query("SELECT event_id AS item, (value * 2)::decimal(18, 4) AS doubled FROM events WHERE event_type <> 'error'")
+@query("SELECT event_id AS item, (value * 2)::decimal(18, 4)::double AS doubled FROM events WHERE event_type <> 'error'")
 def q23_fanout_results(t):
     ok = fanned(t).where("error is null")
-    return ok.select(F.col("item_index").alias("item"), F.get_json_object("output", "$.doubled").cast("double").cast("decimal(18,4)").alias("doubled"))
+    return ok.select(F.col("item_index").alias("item"), F.get_json_object("output", "$.doubled").cast("double").cast("decimal(18,4)").cast("double").alias("doubled"))
 
 
 @query("SELECT event_id AS item, 'bad chunk ' || event_id AS error FROM events WHERE event_type = 'error'")
@@ -284,10 +284,10 @@ def q26_first_failure(t):
 
 
 @query("""
-SELECT l_returnflag, count(*) AS counted, sum((l_quantity * 2)::decimal(18, 2))::decimal(38, 2) AS doubled FROM lineitem GROUP BY 1""")
+SELECT l_returnflag, count(*) AS counted, sum((l_quantity * 2)::decimal(18, 2))::decimal(38, 2)::double AS doubled FROM lineitem GROUP BY 1""")
 def q27_reduce(t):
     results = t("lineitem").select("l_returnflag", (F.col("l_quantity") * 2).cast("decimal(18,2)").alias("doubled"))
-    return results.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("counted"), F.sum("doubled").cast("decimal(38,2)").alias("doubled"))
+    return results.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("counted"), F.sum("doubled").cast("double").alias("doubled"))
 
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")

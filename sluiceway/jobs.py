@@ -78,18 +78,27 @@ class Engine:
         self.ledger.put_job(job_id, "running", graph.fingerprint, name, json.dumps(value))
         return self._run(graph, job_id, value)
 
-    def _row(self, job_id: str, value) -> DataFrame:
-        df = self.spark.createDataFrame([(job_id, json.dumps(value))], "job_id string, j string")
-        df = df.select("job_id", F.parse_json("j").alias("input"))
-        return df.withColumn("failure", F.lit(None).cast("struct<code: string, message: string>"))
+    def _state(self, job_id: str, value, outputs: dict[str, str | None]) -> DataFrame:
+        """One row with the job's input and the state after the nodes that have run; None is a skipped node."""
+        df = self.spark.createDataFrame([(job_id, json.dumps(value), list(outputs.values()))], "job_id string, j string, o array<string>")
+        parts = ["'failure', cast(null as struct<code: string, message: string>)"]
+        for i, (name, output) in enumerate(outputs.items()):
+            result = f"named_struct('output', parse_json(o[{i}]), 'code', cast(null as string), 'message', cast(null as string))"
+            parts.append(f"'s_{name}', {'true' if output is None else 'false'}, '{result_column(name)}', {result}")
+        return df.select("job_id", F.parse_json("j").alias("input"), F.expr(f"named_struct({', '.join(parts)})").alias("st"))
 
     def _run(self, graph: CheckedGraph, job_id: str, value) -> dict:
-        began, df = time.time(), self._row(job_id, value)
-        usage = lambda: {"tokens_in": 0, "tokens_out": 0, "duration_ms": int(1000 * (time.time() - began)), "model": graph.spec.model}
+        began = time.time()
+        outputs: dict[str, str | None] = {}
+
+        def end(status: str, **more) -> dict:
+            usage = {"tokens_in": 0, "tokens_out": 0, "duration_ms": int(1000 * (time.time() - began)), "model": graph.spec.model}
+            return self._end(graph, job_id, value, {"status": status, "usage": usage} | more)
+
         for place, checked in enumerate(graph.nodes, 1):
             node = checked.node
             if job_id in self.cancelled:
-                return self._end(graph, job_id, value, {"status": "cancelled", "error": {"code": "cancelled", "message": "the job was cancelled"}, "usage": usage()})
+                return end("cancelled", error={"code": "cancelled", "message": "the job was cancelled"})
             if len(graph.nodes) > 1:
                 self.log.append(job_id, "progress", json.dumps({"stage": place, "of": len(graph.nodes), "node": node.name}))
             kept = self.ledger.node_output(job_id, node.name)
@@ -98,32 +107,21 @@ class Engine:
                     items, digest = read_manifest(self.spark, node.over)
                     kept = json.dumps(run_fanout(self.ledger, job_id, node.name, items, digest, checked.block, self.host))
                 except (ManifestError, FanoutFailed) as e:
-                    return self._end(graph, job_id, value, {"status": "failed", "error": {"code": "schema_validation_failed", "message": str(e)}, "usage": usage()})
+                    return end("failed", error={"code": "schema_validation_failed", "message": str(e)})
                 self._keep(job_id, node.name, kept)
-            if kept is not None:
-                skipped = kept == "skipped"
-                output = F.lit(None).cast("variant") if skipped else F.parse_json(F.lit(kept))
-                out = F.struct(output.alias("output"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("message"))
-                df = df.withColumn(f"s_{node.name}", F.lit(skipped)).withColumn(result_column(node.name), out)
-                continue
-            df = run_node(df, graph, checked, place, self.host)
-            at = df.select(F.col(f"s_{node.name}").alias("s"), F.to_json(f"`{result_column(node.name)}`.output").alias("o"), "failure").first()
-            if at["failure"] is not None:
-                error = {"code": at["failure"]["code"], "message": at["failure"]["message"]}
-                return self._end(graph, job_id, value, {"status": "failed", "error": error, "usage": usage()})
-            if not at["s"]:
-                self._keep(job_id, node.name, at["o"])
-            # what ran is a value now: no later node runs it again
-            again = at["o"] if not at["s"] else None
-            out = F.struct((F.parse_json(F.lit(again)) if again is not None else F.lit(None).cast("variant")).alias("output"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("message"))
-            df = df.withColumn(f"s_{node.name}", F.lit(bool(at["s"]))).withColumn(result_column(node.name), out)
-        row = envelopes(graph, df).select("status", F.to_json("result").alias("result"), "error").first()
-        envelope = {"status": row["status"], "usage": usage()}
-        if row["error"] is not None:
-            envelope["error"] = row["error"].asDict()
-        else:
-            envelope["result"] = json.loads(row["result"])
-        return self._end(graph, job_id, value, envelope)
+            if kept is None:
+                st = run_node(self._state(job_id, value, outputs), graph, checked, place, self.host)
+                row = st.select(F.col(f"st.`s_{node.name}`").alias("skipped"), F.to_json(f"st.`{result_column(node.name)}`.output").alias("output"), "st.failure").first()
+                if row["failure"] is not None:
+                    return end("failed", error=row["failure"].asDict())
+                kept = None if row["skipped"] else row["output"]
+                if kept is not None:
+                    self._keep(job_id, node.name, kept)
+            outputs[node.name] = kept
+        live = [o for o in outputs.values() if o is not None]
+        if not live:
+            return end("failed", error={"code": "schema_validation_failed", "message": "every node was skipped"})
+        return end("completed", result=json.loads(live[-1]))
 
     def _keep(self, job_id: str, node: str, output: str) -> None:
         row = self.spark.createDataFrame([(job_id, node, lg.NODE, output, None)], "job_id string, node string, item_index long, output string, error string")

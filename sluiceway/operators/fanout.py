@@ -23,7 +23,7 @@ def run_items(items: DataFrame, block, host=None, partitions: int | None = None)
         rows = rows.withColumn("__raw", block.column(F.col("__in"), host))
         rows = rows.withColumn("__out", F.struct(F.try_parse_json("__raw.output").alias("output"), F.col("__raw.code").alias("code"), F.col("__raw.message").alias("message")).cast(RESULT)).drop("__raw")
     else:
-        rows = rows.withColumn("__out", block.apply("__in"))
+        rows = rows.withColumn("__out", F.expr(block.apply("__in")))
     output = F.col("__out.output")
     error = (
         F.when(~fits, F.lit(f"input is not {block.signature.input.describe()}"))

@@ -56,18 +56,19 @@ class SqlBlock:
         body = f"element_at(transform(array({message}), message -> named_struct('output', if(message is null, coalesce({self.expression}, {JSON_NULL}), null), 'code', if(message is null, null, 'script_error'), 'message', message)), 1)"
         return bound(body, value)
 
-    def apply(self, value: str) -> Column:
-        return F.expr(f"if({value} is null, null, {self.once(value)})").cast(RESULT)
+    def apply(self, value: str) -> str:
+        """SQL text of RESULT; null for null."""
+        return f"if({value} is null, null, {self.once(value)})"
 
-    def loop(self, value: str, until: str, most: int) -> Column:
-        """Run on its own output until its field ``until`` is "done"; failing after ``most`` runs."""
+    def loop(self, value: str, until: str, most: int) -> str:
+        """SQL text: run on its own output until its field ``until`` is "done"; failing after ``most`` runs."""
         run = self.once("acc.r.output")
         done = f"(try_variant_get(r.output, '$.{until}', 'variant') is not null and schema_of_variant(try_variant_get(r.output, '$.{until}', 'variant')) = 'STRING' and try_variant_get(r.output, '$.{until}', 'string') = 'done')"
         step = f"element_at(transform(array({run}), r -> named_struct('r', r, 'stop', r.code is not null or coalesce({done}, false))), 1)"
         start = f"named_struct('r', cast(named_struct('output', {value}, 'code', cast(null as string), 'message', cast(null as string)) as {RESULT}), 'stop', false)"
         text = f"aggregate(sequence(1, {most}), {start}, (acc, i) -> if(acc.stop, acc, {step}))"
         gave_up = f"named_struct('output', cast(null as variant), 'code', 'schema_validation_failed', 'message', 'the loop ran {most} times without reaching done')"
-        return F.expr(f"if({value} is null, null, element_at(transform(array({text}), t -> if(t.stop, t.r, {gave_up})), 1))").cast(RESULT)
+        return f"if({value} is null, null, element_at(transform(array({text}), t -> if(t.stop, t.r, {gave_up})), 1))"
 
 
 @dataclass(frozen=True)
@@ -130,4 +131,4 @@ def sql_block(source: str) -> SqlBlock:
 
 def check_sql(spark, block: SqlBlock) -> None:
     """Analyse a SQL block over an empty frame; raises if it doesn't compile."""
-    spark.sql("SELECT parse_json('null') AS input LIMIT 0").select(block.apply("input"))
+    spark.sql("SELECT parse_json('null') AS input LIMIT 0").select(F.expr(block.apply("input")))

@@ -1,106 +1,123 @@
-"""Compile a checked graph to a DataFrame: one row is one job, one struct column one node's result.
+"""Compile a checked graph to a DataFrame: one row is one job.
 
-Runs of SQL blocks are one Catalyst plan; a Python block is an Arrow stage. A node runs on a row if
-the row hasn't failed, its routes are taken and nothing it reads was skipped; otherwise its input
-is null and its block, which does nothing on null, isn't run.
+The state of a row is one struct, ``st``: the failure so far, and for each node its result ``n_<node>``
+and whether it was skipped, ``s_<node>``. Each node makes the next state from the one before, which
+its expression names once; so however Catalyst merges or pushes expressions, plans grow with the
+number of nodes and not with the number of paths. Runs of SQL blocks are one projection; a Python
+block is an Arrow stage between two.
+
+A node runs on a row if the row hasn't failed, its routes are taken and nothing it reads was
+skipped; otherwise its input is null and its block, which does nothing on null, isn't run.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.plans.analyze import CheckedGraph, CheckedNode
 from sluiceway.plans.blocks import JSON_NULL, RESULT, PyBlock
 from sluiceway.plans.speclang import FromNode, InputExpr, RecordExpr, references
 
-ENVELOPE = "job_id string, status string, result variant, error struct<code: string, message: string>"
+FAILURE = "struct<code: string, message: string>"
 
 
 def result_column(name: str) -> str:
     return f"n_{name}"
 
 
-def compose(expr: InputExpr | None) -> str:
-    """SQL text of a node's input."""
+def text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL text: ``body`` with ``name`` for a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def compose(expr: InputExpr | None, state: str = "st", job_input: str = "input") -> str:
+    """SQL text of a node's input; an output that is absent composes as JSON null."""
     if expr is None:
-        return "input"
+        return job_input
     if isinstance(expr, FromNode):
-        return f"coalesce(`{result_column(expr.node)}`.output, {JSON_NULL})"
+        return f"coalesce({state}.`{result_column(expr.node)}`.output, {JSON_NULL})"
     if isinstance(expr, RecordExpr):
-        fields = ", ".join(f"'{k}', {compose(e)}" for k, e in expr.fields)
+        fields = ", ".join(f"{text(k)}, {compose(e, state, job_input)}" for k, e in expr.fields)
         return f"to_variant_object(named_struct({fields}))" if fields else "parse_json('{}')"
-    return f"to_variant_object(array({', '.join(map(compose, expr.items))}))"
+    return f"to_variant_object(array({', '.join(compose(e, state, job_input) for e in expr.items)}))"
+
+
+def _label(output: str) -> str:
+    """SQL text of a decision's route, null if it isn't text."""
+    route = f"try_variant_get({output}, '$.route', 'variant')"
+    return f"if(schema_of_variant({route}) = 'STRING', try_variant_get({output}, '$.route', 'string'), null)"
+
+
+def _among(value: str, labels) -> str:
+    return f"coalesce({value} in ({', '.join(map(text, sorted(labels)))}), false)" if labels else "false"
 
 
-def _route(decision: str) -> Column:
-    return F.try_variant_get(F.col(f"`{result_column(decision)}`.output"), "$.route", "variant")
+def first_state(jobs: DataFrame) -> DataFrame:
+    """``jobs`` with ``st`` before any node."""
+    return jobs.withColumn("st", F.expr(f"named_struct('failure', cast(null as {FAILURE}))"))
 
 
-def _route_label(decision: str) -> Column:
-    route = _route(decision)
-    return F.when(F.schema_of_variant(route) == "STRING", F.try_variant_get(route, "$", "string"))
+def fields_of(df: DataFrame) -> list[str]:
+    return df.schema["st"].dataType.names
 
 
 def run_node(df: DataFrame, graph: CheckedGraph, checked: CheckedNode, place: int, host=None) -> DataFrame:
-    node, name = checked.node, checked.node.name
-    taken = [F.coalesce(_route_label(d).isin(*labels), F.lit(False)) for d, labels in checked.gates.items()]
-    read = [~F.col(f"`s_{r}`") for r in dict.fromkeys(references(node.input)) if r != name]
-    live = reduce(lambda a, b: a & b, [*taken, *read], F.lit(True))
-    df = df.withColumn(f"s_{name}", ~live)
-    if name in references(node.input):
-        df = df.withColumn(result_column(name), F.lit(None).cast(RESULT))  # a loop starts from null
-    runs = live & F.col("failure").isNull()
-    df = df.withColumn("__in", F.when(runs, F.expr(compose(node.input))))
-    block = checked.block
+    """``df`` with the state after one more node."""
+    node, block = checked.node, checked.block
+    own = result_column(node.name)
+    taken = [_among(_label(f"st.`{result_column(d)}`.output"), labels) for d, labels in checked.gates.items()]
+    read = [f"not st.`s_{r}`" for r in dict.fromkeys(references(node.input)) if r != node.name]
+    live = " and ".join([*taken, *read]) or "true"
+    source = compose(node.input) if node.name not in references(node.input) else JSON_NULL  # a loop on itself starts from null
+    given = f"if(({live}) and st.failure is null, {source}, null)"
     if isinstance(block, PyBlock):
-        raw = block.column(F.col("__in"), host, node.repeat_until, node.max_iterations or 1)
-        df = df.withColumn("__raw", raw)
-        out = F.when(F.col("__in").isNotNull(), F.struct(
-            F.try_parse_json("__raw.output").alias("output"), F.col("__raw.code").alias("code"), F.col("__raw.message").alias("message"))).cast(RESULT)
-        df = df.withColumn("__out", out).drop("__raw")
-    elif node.repeat_until:
-        df = df.withColumn("__out", block.loop("__in", node.repeat_until, node.max_iterations))
+        df = df.withColumn("__in", F.expr(let("st", "st", given)))
+        df = df.withColumn("__raw", block.column(F.col("__in"), host, node.repeat_until, node.max_iterations or 1))
+        value, out = "__in", "if(__in is null, null, named_struct('output', try_parse_json(__raw.output), 'code', __raw.code, 'message', __raw.message))"
     else:
-        df = df.withColumn("__out", block.apply("__in"))
+        value = given
+        out = block.loop("inp", node.repeat_until, node.max_iterations) if node.repeat_until else block.apply("inp")
 
-    ok = F.col("__out.code").isNull()
-    fits = block.signature.output.accepts_column(F.col("__out.output"))
     blame = f"block {place} of the pipeline: " if place > 1 else ""
-    failed = F.when(F.col("__out").isNotNull() & ~ok, F.struct(F.col("__out.code").alias("code"), F.concat(F.lit(blame), F.col("__out.message")).alias("message")))
-    failed = failed.when(F.col("__out").isNotNull() & ~fits, F.struct(
-        F.lit("schema_validation_failed").alias("code"),
-        F.lit(f"node {name!r} promised {block.signature.output.describe()} and gave something else").alias("message")))
-    df = df.withColumn(result_column(name), F.when(failed.isNull(), F.col("__out"))).withColumn("failure", F.coalesce("failure", failed))
-    if name in graph.spec.branches:
-        labels = sorted({label for label, _ in graph.spec.branches[name]})
-        bad = F.col(result_column(name)).isNotNull() & ~F.coalesce(_route_label(name).isin(*labels), F.lit(False))
-        df = df.withColumn("failure", F.coalesce("failure", F.when(bad, F.struct(
-            F.lit("schema_validation_failed").alias("code"),
-            F.concat(F.lit(f"decision {name!r} gave the route "), F.coalesce(F.to_json(_route(name)), F.lit("none")), F.lit(f"; declared are {labels}")).alias("message")))))
-    return df.drop("__in", "__out")
+    promised = text(f"node {node.name!r} promised {block.signature.output.describe()} and gave something else")
+    cases = f"when out is null then null when out.code is not null then named_struct('code', out.code, 'message', concat({text(blame)}, out.message)) "
+    cases += f"when not {block.signature.output.accepts_sql('out.output')} then named_struct('code', 'schema_validation_failed', 'message', {promised}) "
+    if node.name in graph.spec.branches:
+        labels = sorted({label for label, _ in graph.spec.branches[node.name]})
+        bad = f"concat({text(f'decision {node.name!r} gave the route ')}, coalesce({_label('out.output')}, 'none'), {text(f'; declared are {labels}')})"
+        cases += f"when not {_among(_label('out.output'), labels)} then named_struct('code', 'schema_validation_failed', 'message', {bad}) "
+    kept = "".join(f"{text(f)}, st.`{f}`, " for f in fields_of(df) if f != "failure")
+    after = f"named_struct('failure', coalesce(st.failure, fail), {kept}{text(f's_{node.name}')}, not ({live}), {text(own)}, if(fail is null, out, null))"
+    body = let("out", f"cast({out} as {RESULT})", let("fail", f"cast(case {cases} end as {FAILURE})", after))
+    whole = let("st", "st", let("inp", value, body))
+    return df.withColumn("st", F.expr(whole)).drop("__in", "__raw")
 
 
 def compile_graph(graph: CheckedGraph, jobs: DataFrame, host=None) -> DataFrame:
-    """``jobs`` (job_id, input VARIANT) with a result column for each node, ``s_`` columns for skips, and ``failure``."""
-    df = jobs.withColumn("failure", F.lit(None).cast("struct<code: string, message: string>"))
+    """``jobs`` (with input VARIANT) and ``failure``, and for each node ``n_<node>`` and ``s_<node>``."""
+    df = first_state(jobs)
     for place, checked in enumerate(graph.nodes, 1):
         if checked.node.over:
             raise ValueError(f"node {checked.node.name!r} is a fan-out: run it by jobs.Engine")
         df = run_node(df, graph, checked, place, host)
-    return df
+    return df.select(*jobs.columns, "st.*")
 
 
 def envelopes(graph: CheckedGraph, df: DataFrame) -> DataFrame:
-    """ENVELOPE rows: the last node in order that wasn't skipped gives the result; no partial results."""
+    """(job_id, status, result, error): the last node in order that wasn't skipped gives the result; no partial results."""
     last = F.lit(None).cast("variant")
+    skipped = F.lit(True)
     for checked in graph.nodes:
         name = checked.node.name
         last = F.when(~F.col(f"s_{name}"), F.col(f"`{result_column(name)}`.output")).otherwise(last)
+        skipped = skipped & F.col(f"s_{name}")
     none = F.struct(F.lit("schema_validation_failed").alias("code"), F.lit("every node was skipped").alias("message"))
-    skipped = reduce(lambda a, b: a & b, [F.col(f"s_{c.node.name}") for c in graph.nodes])
     error = F.coalesce("failure", F.when(skipped, none))
     return df.select(
         "job_id", F.when(error.isNull(), "completed").otherwise("failed").alias("status"),

@@ -75,6 +75,21 @@ class Ty:
             check = value.isNotNull()
         return F.coalesce(check, F.lit(False))
 
+    def accepts_sql(self, value: str, depth: int = 0) -> str:
+        """The same check as SQL text over the text of a VARIANT; true or not, never null."""
+        if self.kind == "text":
+            check = f"schema_of_variant({value}) = 'STRING'"
+        elif self.kind == "list":
+            check = f"forall(try_cast({value} as array<variant>), e{depth} -> {self.item.accepts_sql(f'e{depth}', depth + 1)})"
+        elif self.kind == "record":
+            check = f"schema_of_variant({value}) like 'OBJECT%'"
+            for name, ty in self.fields:
+                part = f"try_variant_get({value}, '$.{name}', 'variant')"
+                check += f" and {part} is not null and {ty.accepts_sql(part, depth + 1)}"
+        else:
+            check = f"{value} is not null"
+        return f"coalesce({check}, false)"
+
     def to_spark(self) -> T.DataType:
         if self.kind == "text":
             return T.StringType()
