@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import functions as F
 
 _TYPES = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float), "integer": int,
@@ -64,11 +68,6 @@ def violations(value, schema, path: str = "") -> list[str]:
 
 def violations_column(text, schema: dict):
     """array<string> of the violations of JSON text; text that isn't JSON is one violation."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     def check(value: str | None) -> list[str]:
         try:
             return violations(json.loads(value), schema)

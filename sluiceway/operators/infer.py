@@ -38,7 +38,7 @@ class Stub:
         return F.struct(text.alias("text"), word_count(prompt).alias("tokens_in"), word_count(text).alias("tokens_out"), F.lit(None).cast("string").alias("error"))
 
     def answer(self, prompt: str, max_tokens: int, images: list | None = None, on_token: Callable[[str], bool] | None = None) -> dict:
-        words = (f"[{len(images)} image(s)] " * bool(images) + (self.reply or STUB_REPLY)).split()[:max_tokens]
+        words = ((f"[{len(images)} image(s)] " if images else "") + (self.reply or STUB_REPLY)).split()[:max_tokens]
         kept = []
         for w in words:
             kept.append(w)
