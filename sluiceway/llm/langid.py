@@ -21,6 +21,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 LETTERS = re.compile(r"[^\W\d_]+")
 LENGTHS = (4, 3, 2, 1)
 UNKNOWN = "und"
-MAX_ROWS, MAX_ENTRIES, CACHE = 24_000, 60_000, 200_000
+MAX_ROWS, MAX_ENTRIES, CACHE, GROUP = 24_000, 60_000, 300_000, 64
 _SPAN = 1 << 30
 
 
@@ -52,39 +53,82 @@ class Model:
     prior: np.ndarray
     tables: dict[int, dict[str, np.ndarray]]
 
-    def word_scores(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
-        for n in LENGTHS:
-            found = [v for g in grams(word, n) if (v := self.tables[n].get(g)) is not None]
-            if found:
-                return sum(found[1:], found[0]) / len(found)
-        return np.zeros(len(self.languages))
+
+_PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+
+
+def _gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams that begin at each place of an array of code points."""
+    h = np.zeros(len(codes) - n + 1, dtype=np.uint64)
+    for k in range(n):
+        h = (h ^ (codes[k : len(codes) - n + 1 + k] * _PLACES[k])) * _PLACES[0]
+        h ^= h >> np.uint64(29)
+    return h
 
 
-class WordRows(dict):
-    """word -> row of ``scores``; filled as words come, and emptied between texts when it is full."""
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
+class WordRows:
+    """Scores of words by row: known words first, and unseen ones as texts bring them, many at a time."""
 
     def __init__(self, model: Model, size: int = CACHE):
-        super().__init__()
-        self.model, self.size = model, size
-        self.scores = np.zeros((size, len(model.languages)))
-
-    def __missing__(self, word: str) -> int:
-        row = len(self)
-        if row == len(self.scores):  # one text has more new words than there is room for
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[row] = self.model.word_scores(word)
-        self[word] = row
-        return row
-
-    def total(self, found: list[str]) -> np.ndarray:
-        if len(self) > self.size // 2:
-            self.clear()
-            self.scores = self.scores[: self.size]
-        rows = np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))
-        return self.scores[rows].sum(axis=0)
+        self.n = len(model.languages)
+        self.known = {w: i for i, w in enumerate(model.tables[0])}
+        self.scores = np.zeros((len(self.known) + size, self.n))
+        if self.known:
+            self.scores[: len(self.known)] = np.stack(list(model.tables[0].values()))
+        self.rows = dict(self.known)
+        self.grams = {}
+        for n in LENGTHS:
+            table = model.tables[n]
+            h = np.array([_gram_hashes(_codes(g), n)[0] for g in table], dtype=np.uint64)
+            order = np.argsort(h)
+            self.grams[n] = h[order], (np.stack(list(table.values()))[order] if table else np.zeros((0, self.n)))
+
+    def back_off(self, unseen: list[str]) -> np.ndarray:
+        """Scores of unseen words: the mean over the known grams of the longest length of which any is known."""
+        codes = _codes("".join(f"^{w}$" for w in unseen))
+        size = np.array([len(w) + 2 for w in unseen])
+        owner = np.repeat(np.arange(len(unseen)), size)
+        end = np.repeat(np.cumsum(size), size)
+        out, open_ = np.zeros((len(unseen), self.n)), np.ones(len(unseen), dtype=bool)
+        for n in LENGTHS:
+            keys, values = self.grams[n]
+            at = np.arange(max(len(codes) - n + 1, 0))
+            good = (at + n <= end[at]) & open_[owner[at]]
+            if n == 1:  # single characters without the word's edges
+                good &= (at + 1 < end[at]) & (np.append(0, end[:-1])[at] == end[at])
+            at = at[good]
+            if not len(at) or not len(keys):
+                continue
+            h = _gram_hashes(codes, n)[at]
+            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            found = keys[place] == h
+            who, place = owner[at[found]], place[found]
+            times = np.bincount(who, minlength=len(unseen))
+            hit = times > 0
+            for k in range(self.n):
+                out[hit, k] = np.bincount(who, values[place, k], minlength=len(unseen))[hit] / times[hit]
+            open_ &= ~hit
+        return out
+
+    def totals(self, texts: list[list[str]]) -> np.ndarray:
+        """Sum of the word scores of each text, none of which is empty."""
+        words = set().union(*texts)
+        if len(self.rows) + len(words) > len(self.scores):
+            self.rows = dict(self.known)
+        unseen = list(words.difference(self.rows))
+        first = len(self.rows)
+        if first + len(unseen) > len(self.scores):  # a few texts have more new words than there is room for
+            self.scores = np.concatenate([self.scores[:first], np.zeros((2 * len(unseen), self.n))])
+        if unseen:
+            self.scores[first : first + len(unseen)] = self.back_off(unseen)
+            self.rows.update(zip(unseen, range(first, first + len(unseen)), strict=True))
+        sizes = [len(t) for t in texts]
+        rows = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=sum(sizes))
+        return np.add.reduceat(self.scores[rows], np.append(0, np.cumsum(sizes[:-1])).astype(np.int64), axis=0)
 
 
 #: Word rows of this worker process by the call they were made for; a worker serves many tasks.
@@ -154,18 +198,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     @F.pandas_udf("struct<lang_pred: string, score: double>")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shipped.value
-        known = worker_rows(key, shipped)
+        known = worker_rows(key, shipped) if m.languages else None
         for texts in batches:
-            out = []
-            for text in texts:
-                found = split_words(text) if m.languages else []
-                if not found:
-                    out.append((UNKNOWN, 0.0))
-                    continue
-                total = m.prior + known.total(found)
-                best = int(np.argmax(total))
-                out.append((m.languages[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())))
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+            names, scores = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
+            for start in range(0, len(texts) if m.languages else 0, GROUP):
+                words = [split_words(t) for t in texts.iloc[start : start + GROUP]]
+                some = [i for i, w in enumerate(words) if w]
+                if some:
+                    total = m.prior + known.totals([words[i] for i in some])
+                    best = total.argmax(axis=1)
+                    at = np.array(some) + start
+                    names[at] = np.array(m.languages, dtype=object)[best]
+                    scores[at] = 1 / np.exp(np.maximum(total - total.max(axis=1, keepdims=True), -700)).sum(axis=1)
+            yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     both = docs.withColumn("__predicted", predicted(F.col("text").cast("string")))
     return both.select(*docs.columns, "__predicted.lang_pred", "__predicted.score")
