@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 LETTERS = re.compile(r"[^\W\d_]+")
 LENGTHS = (4, 3, 2, 1)
 UNKNOWN = "und"
-MAX_ROWS, MAX_ENTRIES, CACHE, GROUP = 24_000, 60_000, 300_000, 64
+MAX_ROWS, MAX_ENTRIES, CACHE, GROUP = 8_000, 60_000, 300_000, 64
 _SPAN = 1 << 30
 
 
