@@ -213,7 +213,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     both = docs.withColumn("__predicted", predicted(F.col("text").cast("string")))
-    return both.select(*docs.columns, "__predicted.lang_pred", "__predicted.score")
+    own = ("lang_pred", "score")  # columns of these names give way
+    return both.select(*[c for c in docs.columns if c not in own], *[f"__predicted.{c}" for c in own])
 
 
 def fold_of(column: str, folds: int):

@@ -45,26 +45,26 @@ def windows(rows: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def covered_lines(rows: DataFrame, size: int = SIZE) -> DataFrame:
-    """(LOCATOR, gone): the numbers of the lines that later occurrences cover, for rows that have any."""
+    """(LOCATOR, __gone): the numbers of the lines that later occurrences cover, for rows that have any."""
     found = stored(windows(rows, size), "line-windows")
     key = first_row("doc_id", *LOCATOR, "w")
     repeated = found.groupBy("h1", "h2").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = found.join(repeated.drop("n"), ["h1", "h2"]).where(key != F.col("first"))
     each = later.select(*LOCATOR, F.explode("covers").alias("line")).distinct()
-    return each.groupBy(*LOCATOR).agg(F.collect_list("line").alias("gone"))
+    return each.groupBy(*LOCATOR).agg(F.collect_list("line").alias("__gone"))
 
 
 def dedup_lines(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """``docs`` with text cleaned, and n_lines (not blank) and n_removed."""
     rows = located(docs)
     lines = _lines(F.col("text"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    cleaned = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    cleaned = F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     n_lines = F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     joined = rows.join(covered_lines(rows.select("doc_id", "text", *LOCATOR), size), list(LOCATOR), "left")
     return joined.select(
-        *[cleaned.alias("text") if c == "text" else F.col(c) for c in docs.columns],
+        *[cleaned.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
         n_lines.cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
     )

@@ -108,7 +108,7 @@ def signatures(rows: DataFrame, trees: int, depth: int) -> DataFrame:
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the pairwise intersections of sorted sets."""
+    """Sizes of the intersections of different sorted sets; the diagonal has no meaning."""
     m = len(sets)
     columns, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(m), [len(s) for s in sets])

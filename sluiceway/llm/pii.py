@@ -136,7 +136,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     rows = located(docs)
     found = find(rows, **options)
     base = F.transform("base", lambda m: F.struct(m["s"].alias("s"), m["o"].alias("o"), m["e"].alias("e"), m["kind"].alias("kind"), F.concat(F.lit("["), F.upper(m["kind"]), F.lit("]")).alias("by")))
-    spans = found.where((F.size("base") > 0) | (F.size("added") > 0)).select(*LOCATOR, F.array_sort(F.concat(base, "added")).alias("spans"))
+    spans = found.where((F.size("base") > 0) | (F.size("added") > 0)).select(*LOCATOR, F.array_sort(F.concat(base, "added")).alias("__spans"))
     joined = rows.join(spans, list(LOCATOR), "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(sp.replaced(F.col("text"), F.col("spans")))
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(sp.replaced(F.col("text"), F.col("__spans")))
     return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])

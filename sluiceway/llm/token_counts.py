@@ -147,4 +147,5 @@ def count_tokens(docs: DataFrame, pieces: dict[str, float] | None = None, vocabu
             yield pd.DataFrame(found, columns=["n_pretokens", "n_tokens"])
 
     both = docs.withColumn("__counted", counted(F.col("text").cast("string")))
-    return both.select(*docs.columns, "__counted.n_pretokens", "__counted.n_tokens")
+    own = ("n_pretokens", "n_tokens")  # columns of these names give way
+    return both.select(*[c for c in docs.columns if c not in own], *[f"__counted.{c}" for c in own])

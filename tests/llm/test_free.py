@@ -29,7 +29,7 @@ def test_tokens_against_plain_dynamic_programming(edge, none):
     want = Counter((r["doc_id"], len((r["text"] or "").split()), sum(map(brute, (r["text"] or "").split()))) for r in edge.collect())
     for limit in (700_000, 50):  # emptying the trie changes nothing
         got = token_counts.count_tokens(edge, max_nodes=limit)
-        assert got.columns == [*edge.columns, "n_pretokens", "n_tokens"]
+        assert got.columns == [*(c for c in edge.columns if c != "n_tokens"), "n_pretokens", "n_tokens"]
         assert Counter((r["doc_id"], r["n_pretokens"], r["n_tokens"]) for r in got.collect()) == want
     assert token_counts.count_tokens(none).count() == 0
 
@@ -174,7 +174,8 @@ def test_depth_meets_the_recall():
 def test_intersections(n):
     rng = np.random.default_rng(n)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 60)).astype(np.uint64)) for _ in range(n)]
-    assert (near_dup.intersections(sets) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (near_dup.intersections(sets) == want)[~np.eye(n, dtype=bool)].all()
 
 
 def test_components(spark):
