@@ -7,8 +7,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from sluiceway.deploy import send_package
+
 _TYPES = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float), "integer": int,
 }
@@ -68,6 +71,8 @@ def violations(value, schema, path: str = "") -> list[str]:
 
 def violations_column(text, schema: dict):
     """array<string> of the violations of JSON text; text that isn't JSON is one violation."""
+    send_package(SparkSession.active())
+
     def check(value: str | None) -> list[str]:
         try:
             return violations(json.loads(value), schema)

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluiceway.deploy import send_package
 from sluiceway.functions.text import stub_reply, word_count
 
 ANSWER = "struct<text: string, tokens_in: long, tokens_out: long, error: string>"
@@ -113,6 +114,7 @@ def infer(prompts: DataFrame, backend, prompt: str = "prompt", max_tokens: int =
     """``prompts`` with ``answer`` (ANSWER). A failed call is an error on its row."""
     if images and not backend.vision:
         raise Unsupported(f"{type(backend).__name__} can't see images")
+    send_package(prompts.sparkSession)
     if isinstance(backend, Stub):
         return prompts.withColumn("answer", backend.column(F.col(prompt), max_tokens, images))
 

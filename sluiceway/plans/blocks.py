@@ -14,10 +14,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import VariantVal
 
+from sluiceway.deploy import send_package
 from sluiceway.plans.types import Signature, TypeSyntaxError, parse_signature
 
 RESULT = "struct<output: variant, code: string, message: string>"
@@ -84,6 +85,7 @@ class PyBlock:
     def column(self, value: Column, host=None, until: str | None = None, most: int = 1) -> Column:
         """RESULT as a struct of strings over JSON text; a null value runs nothing."""
         fn, name = self.fn, self.name
+        send_package(SparkSession.active())
 
         @F.pandas_udf("struct<output: string, code: string, message: string>")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
