@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluiceway.deploy import send_package
+
 LETTERS = re.compile(r"[^\W\d_]+")
 LENGTHS = (4, 3, 2, 1)
 UNKNOWN = "und"
@@ -152,6 +154,7 @@ def bounded_sample(rows: DataFrame, max_rows: int, *key: str) -> DataFrame:
 
 def train(rows: DataFrame, max_rows: int = MAX_ROWS, max_entries: int = MAX_ENTRIES) -> Model:
     """Fit on rows (text, lang) with neither null."""
+    send_package(rows.sparkSession)
     sample = bounded_sample(rows.where("text is not null and lang is not null"), max_rows, "doc_id", "text")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,6 +196,7 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS, max_entries: int = MAX_ENTR
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score; only the text is looked at."""
+    send_package(docs.sparkSession)
     key, shipped = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")

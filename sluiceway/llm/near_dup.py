@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluiceway.deploy import send_package
 from sluiceway.llm.common import FILE, LOCATOR, first_row, located, stored
 
 SHINGLE, THRESHOLD = 5, Fraction(4, 5)
@@ -219,6 +220,7 @@ def near_classes(docs: DataFrame, threshold: Fraction = THRESHOLD, trees: int =
                  target: float = TARGET_RECALL) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, n_links, kept, LOCATOR; links are to rows with similarity at the threshold or above."""
     rows = docs if FILE in docs.columns else located(docs.select("doc_id", "text"))
+    send_package(rows.sparkSession)
     depth = depth_for(trees, max_depth, float(threshold), target)
     signed = stored(signatures(rows, trees, depth), "signatures")
     reps = stored(

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluiceway.deploy import send_package
+
 MARK = "▁"
 DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 ZIPF_SHIFT = 2.7
@@ -137,6 +139,7 @@ def worker_trie(key: str, shipped, max_nodes: int) -> PreTokenTrie:
 def count_tokens(docs: DataFrame, pieces: dict[str, float] | None = None, vocabulary: str = DEFAULT_VOCABULARY,
                  max_nodes: int = MAX_NODES) -> DataFrame:
     """``docs`` with n_pretokens and n_tokens; the vocabulary is read by the driver and broadcast (bounded by its file)."""
+    send_package(docs.sparkSession)
     key, shipped = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(load_pieces(vocabulary) if pieces is None else pieces)
 
     @F.pandas_udf("struct<n_pretokens: long, n_tokens: long>")

@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluiceway.deploy import send_package
 from sluiceway.llm.langid import bounded_sample
 
 MAX_ROWS, MAX_LEXICON, CACHE = 20_000, 4_000, 200_000
@@ -210,6 +211,7 @@ def lexicon_from(pos: np.ndarray, neg: np.ndarray, names: np.ndarray, n_pos: flo
 def train(rows: DataFrame, max_rows: int = MAX_ROWS, max_lexicon: int = MAX_LEXICON) -> Model:
     """Fit on rows (doc_id, text, toxic), one for each labelled text."""
     spark = rows.sparkSession
+    send_package(spark)
     fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
     sample = rows.select("text", F.col("toxic").cast("int").alias("toxic"), fold.alias("fold"))
     sizes = sample.groupBy("fold").agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).toPandas()
@@ -267,6 +269,7 @@ def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Da
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with score and predicted."""
+    send_package(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
