@@ -130,5 +130,25 @@ WITH d AS (
 ), g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
 FROM d JOIN g USING (t)
+""",
+    "op8_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT p.x, p.y FROM p JOIN n a ON a.doc_id = p.x JOIN n b ON b.doc_id = p.y WHERE 5 * p.k >= 4 * (a.n + b.n - p.k)
+), r AS (
+  SELECT doc_id AS x, doc_id AS c FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.c
+), c AS (
+  SELECT x AS doc_id, min(c) AS class_id FROM r GROUP BY 1
+)
+SELECT c.doc_id, c.class_id, coalesce(m.n_links, 0) AS n_links, c.class_id = c.doc_id AS kept
+FROM c LEFT JOIN (SELECT x, count(*) AS n_links FROM l GROUP BY 1) m ON m.x = c.doc_id
 """,
 }
