@@ -237,3 +237,16 @@ def test_mixing(spark, edge, none, weights):
 def test_whole_shares():
     assert mixing.whole_shares({"a": 1.0, "b": 1e-9}) == {"a": 999, "b": 1}
     assert sum(mixing.whole_shares({str(i): i + 1.0 for i in range(300)}).values()) == 1200
+
+
+def test_scratch_can_be_dropped(spark):
+    from pyspark.errors import PySparkException
+
+    from sluiceway.llm import common
+
+    df = common.stored(spark.range(3).toDF("id"), "gone")
+    assert df.count() == 3
+    common.drop_scratch(spark)
+    assert not common._WRITTEN
+    with pytest.raises(PySparkException):
+        df.collect()
