@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.deploy import send_package
+from sluiceway.llm.common import stored
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LENGTHS = (4, 3, 2, 1)
@@ -171,9 +172,10 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS, max_entries: int = MAX_ENTR
                             out[lang, n, g] += k
             yield pd.DataFrame([(*key, k) for key, k in out.items()], columns=["lang", "n", "gram", "k"])
 
+    partial = sample.select("text", "lang").mapInPandas(counted, "lang string, n int, gram string, k long")
+    seen = stored(partial.groupBy("lang", "n", "gram").agg(F.sum("k").alias("k")), "langid-counts")  # read once for each table
     counts = (
-        sample.select("text", "lang").mapInPandas(counted, "lang string, n int, gram string, k long")
-        .groupBy("n", "gram").pivot("lang", sorted(r[0] for r in sample.select("lang").distinct().collect())).sum("k")
+        seen.groupBy("n", "gram").pivot("lang", sorted(r[0] for r in sample.select("lang").distinct().collect())).sum("k")
         .na.fill(0)
     )
     languages = counts.columns[2:]
