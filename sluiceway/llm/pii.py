@@ -1,15 +1,17 @@
 """PII: fixed patterns for protected entities, and information-theoretic sanitisation of what reveals them.
 
-Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. The words around
-them are candidate terms. With N distinct texts, n(e) of them naming entity e, n(t) holding term t
-and n(t, e) holding t near e, a term tells PMI(t; e) = log2(n(t, e) N / (n(t) n(e))) bits of the
-IC(e) = -log2(n(e) / N) bits that naming e would tell. A term whose share PMI / IC exceeds the
-disclosure threshold near an entity is sanitised there: removed where it tells nearly everything,
-generalised to a class otherwise. Terms need support from ``min_support`` distinct texts, so that
-words which merely are rare aren't taken for revealing ones.
+Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. The words of every text
+that names an entity, wherever they stand in it, are candidate terms. With N distinct texts, n(e) of them
+naming entity e, n(t) holding term t and n(t, e) holding both, a term tells PMI(t; e) =
+log2(n(t, e) N / (n(t) n(e))) bits of the IC(e) = -log2(n(e) / N) bits that naming e would tell.
 
-All counts cover the whole corpus. Terms that cannot reach the threshold even if they occurred
-nowhere else are dropped before the corpus is counted, which loses none.
+n(t) of a rare word says little about how rare it is, so a term is judged by the lower bound of its PMI,
+with the upper confidence limit of n(t) for n(t). It is sanitised where that bound's share of IC exceeds
+the disclosure threshold: removed where its PMI itself tells nearly everything, generalised to a class
+otherwise. No number of texts is asked for, so entities that are named once are judged like others.
+
+All counts cover the whole corpus; texts are told apart by 64-bit hashes. Terms that cannot reach the
+threshold even if they occurred nowhere else are dropped before the corpus is counted, which loses none.
 
 Defined results: null text is the empty text; a text without spans keeps its words; repeated rows
 and null ids are treated row by row, and equal texts count once; an empty table gives an empty result.
@@ -30,9 +32,11 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = "^0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
 #: Candidate terms: runs of letters and digits that hold no ASCII mark.
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-AROUND = 60  # characters looked at on each side
-MIN_SUPPORT, DISCLOSED, TOTAL = 3, 0.7, 0.95
+TERM, NOT_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SHORTEST = 3  # characters of a term
+DISCLOSED, TOTAL = 0.7, 0.95
+LIMIT = 1.96  # standard deviations to the upper limit of a count: 97.5 % one-sided
+BROADCAST_ROWS = 300_000
 _ADDED = "array<struct<s: int, o: int, e: int, kind: string, by: string>>"
 
 
@@ -60,40 +64,61 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def context_terms(text: Column, m: Column) -> Column:
-    """Spans of the whole words within AROUND characters on either side of match ``m``."""
-    left, right = F.greatest(m["s"] - AROUND, F.lit(0)), m["e"] + AROUND
-    before = sp.matches(F.substring(text, left + 1, m["s"] - left), TERM)
-    after = sp.matches(F.substring(text, m["e"] + 1, AROUND), TERM)
-    shift = lambda v, by: F.struct((v["s"] + by).alias("s"), (v["e"] + by).alias("e"), F.lower(v["x"]).alias("term"), v["x"].alias("word"))
-    whole_before = F.filter(before, lambda v: (v["s"] > 0) | (left == 0))  # a word cut off by the window isn't whole
-    whole_after = F.filter(after, lambda v: (v["e"] < AROUND) | (right >= F.length(text)))
-    spread = F.concat(F.transform(whole_before, lambda v: shift(v, left)), F.transform(whole_after, lambda v: shift(v, m["e"])))
-    # digits aren't terms: they belong to further entities
-    return F.filter(spread, lambda v: ~v["term"].rlike("^[0-9]+$") & (F.length(v["term"]) >= 3))
-
-
-def revealing(rows: DataFrame, near: DataFrame, min_support: int, disclosed: float) -> DataFrame:
-    """(term, entity, share): the share of the entity's information that the term tells, where it exceeds ``disclosed``."""
-    spark = rows.sparkSession
-    n = max(rows.agg(F.approx_count_distinct("text")).first()[0], 2)
-    n_e = near.groupBy("entity").agg(F.countDistinct("id").alias("n_e"))
-    pairs = near.select("term", "entity", "id").distinct().groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te"))
-    close = near.select("term", "id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    ic = -F.log2(F.col("n_e") / n)
-    pmi = lambda n_t: F.log2(F.col("n_te") * F.lit(float(n)) / (n_t * F.col("n_e")))
-    possible = pairs.where(F.col("n_te") >= min_support).join(n_e, "entity").join(close, "term")
-    possible = stored(possible.where((ic > 0) & (pmi(F.col("n_near")) >= disclosed * ic)), "pii-terms")
-    terms = possible.select("term").distinct()
-    if terms.isEmpty():
-        return spark.createDataFrame([], "term string, entity string, share double")
-    held = rows.select(F.xxhash64("text").alias("id"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).alias("term"))
-    n_t = held.join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    share = pmi(F.greatest("n_t", "n_near")) / ic
-    return possible.join(n_t, "term").select("term", "entity", share.alias("share")).where(F.col("share") >= disclosed)
-
-
-def find(docs: DataFrame, min_support: int = MIN_SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of the characters of spans sorted by s, so that all others keep their places."""
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, m: Column) -> Column:
+        start = F.greatest(a["at"], m["s"])
+        piece = F.concat(F.substring(text, a["at"] + 1, start - a["at"]), F.repeat(F.lit(" "), F.greatest(m["e"] - start, F.lit(0))))
+        return F.struct(F.greatest(a["at"], m["e"]).alias("at"), F.concat(a["out"], F.array(piece)).alias("out"))
+
+    return F.aggregate(spans, first, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+
+
+def is_term(word: Column) -> Column:
+    """Digits aren't terms: they belong to further entities."""
+    return (F.length(word) >= SHORTEST) & ~word.rlike("^[0-9]+$")
+
+
+def held_terms(rows: DataFrame, text: str) -> DataFrame:
+    """(id, term) for the terms of each row; a term repeats where its spelling differs."""
+    each = rows.select("id", F.explode(F.array_distinct(F.split(text, NOT_TERM))).alias("word"))
+    return each.where(is_term(F.col("word"))).select("id", F.lower("word").alias("term"))
+
+
+def upper_limit(n: Column) -> Column:
+    """Upper confidence limit of a Poisson count (Wilson and Hilferty)."""
+    m = n + F.lit(1.0)
+    return m * F.pow(1 - 1 / (9 * m) + LIMIT / (3 * F.sqrt(m)), F.lit(3.0))
+
+
+def revealing(rows: DataFrame, named: DataFrame, holds: DataFrame, n: int, disclosed: float) -> DataFrame:
+    """(term, entity, share): the share of the entity's information that the term tells, where its lower bound exceeds ``disclosed``.
+
+    ``rows`` are (id, text) of the corpus, ``named`` (id, entity) and ``holds`` (id, term) of the texts with entities.
+    """
+    total = F.lit(float(n))
+    bits = lambda n_te, n_t, n_e: F.log2(n_te * total / (n_t * n_e))
+    n_e = named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") < n)
+    sized = stored(named.join(n_e, "entity"), "pii-named")
+    n_near = holds.groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    # at best a term stands in every text that names the text's least informative entity
+    least = sized.groupBy("id").agg(F.max("n_e").alias("top"))
+    could = F.log2(total / upper_limit(F.col("n_near"))) >= disclosed * F.log2(total / F.col("top"))
+    kept = holds.join(least, "id").join(n_near, "term").where(could).drop("top")
+    pairs = kept.join(sized, "id").groupBy("term", "entity").agg(
+        F.count(F.lit(1)).alias("n_te"), F.first("n_near").alias("n_near"), F.first("n_e").alias("n_e"))
+    told = lambda n_t: bits(F.col("n_te"), n_t, F.col("n_e")) / F.log2(total / F.col("n_e"))
+    possible = stored(pairs.where(told(upper_limit(F.col("n_near"))) >= disclosed), "pii-terms")
+    terms = stored(possible.select("term").distinct(), "pii-vocabulary")
+    terms = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
+    n_t = held_terms(rows, "text").join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_all"))
+    judged = possible.join(n_t, "term").withColumn("n_t", F.greatest("n_all", "n_near"))
+    return judged.where(told(upper_limit(F.col("n_t"))) >= disclosed).select("term", "entity", told(F.col("n_t")).alias("share"))
+
+
+def find(docs: DataFrame, disclosed: float = DISCLOSED) -> DataFrame:
     """One row per row of ``docs``: doc_id, LOCATOR, base and added spans as arrays of struct<s, o, e, kind[, by]>."""
     rows = docs if FILE in docs.columns else located(docs.select("doc_id", "text"))
     rows = rows.select("doc_id", *LOCATOR, F.coalesce("text", F.lit("")).alias("text"))
@@ -105,20 +130,23 @@ def find(docs: DataFrame, min_support: int = MIN_SUPPORT, disclosed: float = DIS
 
     each = F.concat(*[tagged(m, kind, order) for order, (kind, m) in enumerate(kinds.items())])
     spanned = rows.select("doc_id", *LOCATOR, "text", F.array_sort(each).alias("base"))
-    around = lambda m: F.struct(m["kind"].alias("kind"), m["x"].alias("x"), context_terms(F.col("text"), m).alias("terms"))
-    found = stored(spanned.select(
-        "doc_id", *LOCATOR, F.xxhash64("text").alias("id"), "base", F.transform("base", around).alias("around")), "pii-spans")
-    near = found.where(F.size("base") > 0).select(*LOCATOR, "id", "base", F.explode("around").alias("a"))
-    near = near.select(*LOCATOR, "id", "base", F.concat_ws(":", "a.kind", F.lower("a.x")).alias("entity"), F.explode("a.terms").alias("t"))
     # a word inside a base span is part of that entity, not a term
-    near = near.where(~F.exists("base", lambda b: (b["s"] < F.col("t.e")) & (F.col("t.s") < b["e"])))
-    near = near.select(*LOCATOR, "id", "entity", "t.*")
-    told = revealing(rows, near, min_support, disclosed)
-    general = F.when(F.col("word").rlike(r"^[A-Z]"), "[NAME]").otherwise("[TERM]")
-    by = F.when(F.max("share") >= TOTAL, "").otherwise(F.first(general))
-    added = near.join(told, ["term", "entity"]).groupBy(*LOCATOR, "s", "e").agg(by.alias("by"))
-    added = added.groupBy(*LOCATOR).agg(F.collect_list(F.struct("s", F.lit(4).alias("o"), "e", F.lit("term").alias("kind"), "by")).alias("added"))
-    return found.drop("around", "id").join(added, list(LOCATOR), "left").withColumn("added", F.coalesce("added", F.array().cast(_ADDED)))
+    rest = F.when(F.size("base") > 0, blanked(F.col("text"), F.col("base")))
+    found = stored(spanned.select("doc_id", *LOCATOR, F.xxhash64("text").alias("id"), "base", rest.alias("rest")), "pii-spans")
+    n = found.select("id").distinct().count()
+    near = found.where(F.col("rest").isNotNull())
+    entity = F.concat_ws(":", "b.kind", F.lower("b.x")).alias("entity")
+    named = stored(near.select("id", F.explode("base").alias("b")).select("id", entity).distinct(), "pii-entities")
+    holds = stored(held_terms(near, "rest").distinct(), "pii-holds")
+    told = revealing(rows.select(F.xxhash64("text").alias("id"), "text"), named, holds, n, disclosed)
+    told = holds.join(told, "term").join(named, ["id", "entity"]).groupBy("id", "term").agg(F.max("share").alias("share"))
+    told = told.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("share") >= TOTAL))).alias("told"))
+    word = near.join(told, "id").select(*LOCATOR, "told", F.explode(sp.matches(F.col("rest"), TERM)).alias("t"))
+    word = word.where(is_term(F.col("t.x"))).select(*LOCATOR, "t.s", "t.e", "t.x", F.col("told")[F.lower("t.x")].alias("whole")).where("whole is not null")
+    by = F.when(F.col("whole"), "").when(F.col("x").rlike(r"^[A-Z]"), "[NAME]").otherwise("[TERM]")
+    added = word.select(*LOCATOR, F.struct("s", F.lit(4).alias("o"), "e", F.lit("term").alias("kind"), by.alias("by")).alias("v"))
+    added = added.groupBy(*LOCATOR).agg(F.collect_list("v").alias("added"))
+    return found.drop("rest", "id").join(added, list(LOCATOR), "left").withColumn("added", F.coalesce("added", F.array().cast(_ADDED)))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -200,6 +200,17 @@ def test_revealing_terms(spark):
     assert got[10] == docs[5][1].replace("other0@corp.example", "[EMAIL]") and got[100] == docs[25][1]
 
 
+def test_terms_of_an_entity_named_once(spark):
+    filler = "plain common words and people wrote here "
+    docs = [(0, f"Zorblax {filler * 5}one@corp.example and +49 30 1234567 {filler * 5}quux"), (0, f"Zorblax {filler * 5}one@corp.example and +49 30 1234567 {filler * 5}quux")]
+    docs += [(i, f"{filler}{'quux ' if i < 40 else ''}number {i}") for i in range(1, 1500)]
+    got = pii.sanitise(spark.createDataFrame(docs, "doc_id int, text string")).where("doc_id = 0").collect()
+    # one text of 1,500: Zorblax, far from the entity, tells it; quux, in 40 texts, and common words don't
+    assert {r["text"] for r in got} == {f" {filler * 5}[EMAIL] and [PHONE] {filler * 5}quux"} and len(got) == 2
+    found = pii.digest(pii.find(spark.createDataFrame(docs, "doc_id int, text string"))).where("n_terms > 0").collect()
+    assert [(r["doc_id"], r["n_terms"]) for r in found] == [(0, 1)] * 2 and found[0]["spans"].startswith("term:0:7,")
+
+
 def test_spans_with_many_matches(spark):
     text = "é ab" * 1500
     got = spark.createDataFrame([(text,)], "t string").select(sp.matches(F.col("t"), "ab").alias("m")).first()["m"]
