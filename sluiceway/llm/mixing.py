@@ -1,14 +1,15 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 The rows of a source, in a pseudo-random order that is the same in every run, are cut into blocks
-of ``block_rows`` rows. Weights are made whole shares of a period. Block k of a source with share p
-of the period d may start at slot floor(k d / p) and must be placed by slot ceil((k + 1) d / p);
-each slot takes the block with the earliest deadline among those released. Every source thus stays
-less than one block from its target at every slot. When a source has no rows left, a new phase
-starts with the weights of the others scaled up, so every row is placed exactly once.
+of ``block_rows`` rows. In the fluid schedule every source that isn't used up progresses at its weight
+over the sum of their weights, so a source's end scales the others up at once. A block may start at
+the slot in which the fluid schedule begins it, and must be placed by the slot in which that ends it;
+each slot takes the block with the earliest deadline among those released. Releases and deadlines
+are computed from the exact weights in whole numbers. Every source thus stays less than one block
+from its target at every slot, and every row is placed exactly once.
 
-The schedule depends on the number of rows of each source only, and is planned on the driver for
-at most MAX_SOURCES sources: slots repeat with the period, so a plan holds one period for each phase.
+The schedule depends on the number of rows of each source only. It is a table of blocks, which the
+driver writes piece by piece; it holds the sources' sizes and weights and one piece at a time.
 
 Defined results: null is a source of its own; a source without a weight, or with a weight that is
 null or not above 0, gets the smallest weight given; repeated rows and null ids are placed row by row, ordered by hash, id
@@ -18,19 +19,23 @@ and locator; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import accumulate
+from math import lcm
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import FILE, LOCATOR, located
+from sluiceway.llm.common import FILE, LOCATOR, located, scratch_path
 
 BLOCK_ROWS = 64
 MAX_SOURCES = 500
 BUCKET_ROWS, MAX_BUCKETS = 2_000, 65_536
 PERIOD = 1_000
-_PLAN = (
-    "key string, phase int, first_block long, last_block long, share int, period int, base_slot long, base_row long, slots array<int>"
-)
+PIECE = 200_000  # blocks of the schedule that the driver holds at a time
+_PLAN = "key string, mix_block long, mix_slot long, mix_release long, mix_deadline long, base_row long"
 
 
 def whole_shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -45,44 +50,75 @@ def whole_shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, i
     return out
 
 
+class Fluid:
+    """The slots, from below and above, at which sources that share every slot by weight end their blocks."""
+
+    def __init__(self, blocks: list[int], weights: list[float]):
+        exact = [Fraction(w) for w in weights]
+        scale = lcm(*(x.denominator for x in exact))
+        self.weights = [x.numerator * (scale // x.denominator) for x in exact]
+        # work per weight, with bits enough that different fractions stay apart
+        self.bits = 2 * max(self.weights, default=1).bit_length() + 1
+        ends = [self.work(n, i) for i, n in enumerate(blocks)]
+        order = sorted(range(len(blocks)), key=ends.__getitem__)
+        self.ends = [ends[i] for i in order]
+        self.done = list(accumulate((blocks[i] for i in order), initial=0))
+        self.left = list(accumulate((-self.weights[i] for i in order), initial=sum(self.weights)))
+
+    def work(self, k: int, i: int) -> int:
+        return (k << self.bits) // self.weights[i]
+
+    def at(self, k: int, i: int) -> tuple[int, int]:
+        """The slots around the time at which source i has done k blocks."""
+        used_up = bisect_left(self.ends, self.work(k, i))
+        q, r = divmod(k * self.left[used_up], self.weights[i])
+        return self.done[used_up] + q, self.done[used_up] + q + (r > 0)
+
+
+def schedule(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source, block, slot, release, deadline) slot by slot, earliest deadline first among released blocks."""
+    fluid = Fluid(blocks, weights)
+    coming = [(0, i, 0) for i, n in enumerate(blocks) if n]  # each source's next block by release
+    ready: list[tuple[int, int, int, int]] = []
+    for slot in range(sum(blocks)):
+        while coming and coming[0][0] <= slot:
+            release, i, k = coming[0]
+            later, deadline = fluid.at(k + 1, i)
+            heapq.heappush(ready, (deadline, i, k, release))
+            if k + 1 < blocks[i]:
+                heapq.heapreplace(coming, (later, i, k + 1))
+            else:
+                heapq.heappop(coming)
+        deadline, i, k, release = heapq.heappop(ready)
+        yield i, k, slot, release, deadline
+
+
 def one_period(shares: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period, earliest deadline first among released blocks."""
-    d = sum(shares.values())
-    releases: list[list[tuple[int, str, int]]] = [[] for _ in range(d)]
-    for key, p in shares.items():
-        for k in range(p):
-            releases[k * d // p].append((-(-(k + 1) * d // p), key, k))
+    """Slots of each source's blocks where sources have as many blocks as their weights."""
     slots: dict[str, list[int]] = {key: [] for key in shares}
-    ready: list[tuple[int, str, int]] = []
-    for slot in range(d):
-        for block in releases[slot]:
-            heapq.heappush(ready, block)
-        _, key, _ = heapq.heappop(ready)
-        slots[key].append(slot)
+    keys, sizes = list(shares), list(shares.values())
+    for i, _, slot, _, _ in schedule(sizes, sizes):
+        slots[keys[i]].append(slot)
     return slots
 
 
-def plan(rows_of: dict[str, int], weights: dict[str, float], block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> list[tuple]:
-    """Phases of the schedule, as rows of _PLAN."""
-    shares = whole_shares({k: weights[k] for k in rows_of}, period) if rows_of else {}
-    left = {k: -(-n // block_rows) for k, n in rows_of.items() if n}
-    done = dict.fromkeys(left, 0)
-    out, phase, base_slot, base_row = [], 0, 0, 0
-    while left:
-        active = {k: shares[k] for k in left}
-        slots, d = one_period(active), sum(active.values())
-        # the phase ends with the first source that places its last block
-        end = min((n - 1) // active[k] * d + slots[k][(n - 1) % active[k]] + 1 for k, n in left.items())
-        rows = 0
-        for k in sorted(left):
-            placed = end // d * active[k] + sum(s < end % d for s in slots[k])
-            out.append((k, phase, done[k], done[k] + placed - 1, active[k], d, base_slot, base_row, slots[k]))
-            done[k] += placed
-            left[k] -= placed
-            rows += placed * block_rows - (0 if left[k] else done[k] * block_rows - rows_of[k])
-        left = {k: n for k, n in left.items() if n}
-        phase, base_slot, base_row = phase + 1, base_slot + end, base_row + rows
-    return out
+def plan(spark: SparkSession, rows_of: dict[str, int], weights: dict[str, float], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The schedule as a table with _PLAN's columns; base_row is the place of a block's first row in the mixture."""
+    path, piece, row = scratch_path(spark, "mix-slots"), [], 0
+    keys = sorted(rows_of)
+
+    def write() -> None:
+        spark.createDataFrame(piece, _PLAN).write.mode("append").parquet(path)
+        piece.clear()
+
+    for i, k, slot, release, deadline in schedule([-(-rows_of[key] // block_rows) for key in keys], [weights[key] for key in keys]):
+        piece.append((keys[i], k, slot, release, deadline, row))
+        row += min(block_rows, rows_of[keys[i]] - k * block_rows)
+        if len(piece) == PIECE:
+            write()
+    if piece or not row:
+        write()
+    return spark.read.schema(_PLAN).parquet(path)
 
 
 def tempered(rows_of: dict[str, int], power: float = 0.5) -> dict[str, float]:
@@ -94,7 +130,7 @@ def _source_key(column: str):
     return F.when(F.col(column).isNull(), "").otherwise(F.concat(F.lit("="), F.col(column).cast("string")))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD,
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS,
         power: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, mix_block, mix_slot, mix_release, mix_deadline, mix_position, LOCATOR."""
     spark = docs.sparkSession
@@ -120,20 +156,10 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     place = F.row_number().over(Window.partitionBy("key", "bucket").orderBy("h", "doc_id", *LOCATOR)) - 1
     placed = rows.withColumn("place", place).join(offsets, ["key", "bucket"]).withColumn("place", F.col("place") + F.col("before"))
 
-    phases = spark.createDataFrame(plan(rows_of, wanted, block_rows, period), _PLAN)  # bounded by MAX_SOURCES and the period
-    block = F.col("place").cast("long") / block_rows
-    placed = placed.withColumn("mix_block", F.floor(block)).join(F.broadcast(phases), "key")
-    placed = placed.where(F.col("mix_block").between(F.col("first_block"), F.col("last_block")))
-    q = F.col("mix_block") - F.col("first_block")
-    cycle = F.floor(q / F.col("share"))
-    slot = cycle * F.col("period") + F.get("slots", (q % F.col("share")).cast("int"))
-    return placed.select(
-        "doc_id", "source", "mix_block",
-        (F.col("base_slot") + slot).alias("mix_slot"),
-        (F.col("base_slot") + F.floor(q * F.col("period") / F.col("share"))).alias("mix_release"),
-        (F.col("base_slot") + F.ceil((q + 1) * F.col("period") / F.col("share"))).alias("mix_deadline"),
-        (F.col("base_row") + slot * block_rows + F.col("place") % block_rows).alias("mix_position"),
-        *LOCATOR,
+    placed = placed.withColumn("mix_block", F.floor(F.col("place").cast("long") / block_rows))
+    return placed.join(plan(spark, rows_of, wanted, block_rows), ["key", "mix_block"]).select(
+        "doc_id", "source", "mix_block", "mix_slot", "mix_release", "mix_deadline",
+        (F.col("base_row") + F.col("place") % block_rows).alias("mix_position"), *LOCATOR,
     )
 
 

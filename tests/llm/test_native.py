@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -245,6 +246,41 @@ def test_mixing(spark, edge, none, weights):
     assert mixing.mix(none).count() == 0
 
 
+def test_deviation_from_the_real_weights(spark):
+    sizes = {f"s{i:02}": 105 for i in range(1, 20)} | {"s00": 1000}
+    docs = spark.createDataFrame([(i, k) for k, n in sizes.items() for i in range(n)], "doc_id int, source string")
+    total = sum(n**0.5 for n in sizes.values())
+    slots = {k: [] for k in sizes}
+    for r in mixing.mix(docs, block_rows=1).collect():
+        slots[r["source"]].append(r["mix_slot"])
+    first_end = min(max(v) for v in slots.values())
+    assert first_end > 2000
+    for k, n in sizes.items():
+        placed = set(slots[k])
+        have = 0
+        for t in range(first_end - 20):
+            assert abs(have - t * n**0.5 / total) < 1
+            have += t in placed
+
+
+@pytest.mark.parametrize("weights", [[0.5] + [0.5 / 19] * 19, [0.0005, 0.9995], [1e-9, 3.0, 0.1]])
+def test_exact_weights_until_sources_end(weights):
+    blocks = [500, 37, 90][: len(weights)] + [11] * (len(weights) - 3)
+    have, left = [0] * len(blocks), [Fraction(n) for n in blocks]
+    out = list(mixing.schedule(blocks, weights))
+    assert Counter((i, k) for i, k, *_ in out) == Counter((i, k) for i, n in enumerate(blocks) for k in range(n))
+    for i, _, slot, release, deadline in out:
+        assert release <= slot < deadline
+        have[i] += 1
+        time = Fraction(1)  # the fluid schedule, one slot on
+        while time:
+            live = {j: Fraction(weights[j]) for j in range(len(blocks)) if left[j]}
+            step = min(time, *(left[j] * sum(live.values()) / w for j, w in live.items()))
+            left = [x - step * live[j] / sum(live.values()) if j in live else x for j, x in enumerate(left)]
+            time -= step
+        assert all(abs(have[j] - (blocks[j] - left[j])) < 1 for j in range(len(blocks)))
+
+
 def test_whole_shares():
     assert mixing.whole_shares({"a": 1.0, "b": 1e-9}) == {"a": 999, "b": 1}
     assert sum(mixing.whole_shares({str(i): i + 1.0 for i in range(300)}).values()) == 1200
