@@ -28,10 +28,10 @@ from math import lcm
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import FILE, LOCATOR, located, scratch_path
+from sluiceway.llm.common import FILE, LOCATOR, located, scratch_path, stored
 
 BLOCK_ROWS = 64
-MAX_SOURCES = 500
+BROADCAST_SOURCES = 300_000  # a table of up to so many sources is broadcast, a larger one shuffled
 BUCKET_ROWS, MAX_BUCKETS = 2_000, 65_536
 PERIOD = 1_000
 PIECE = 200_000  # blocks of the schedule that the driver holds at a time
@@ -136,19 +136,16 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
     spark = docs.sparkSession
     rows = docs if FILE in docs.columns else located(docs)
     rows = rows.select("doc_id", "source", *LOCATOR, _source_key("source").alias("key"), F.xxhash64(F.lit(7), "doc_id").alias("h"))
-    sizes = rows.groupBy("key").count().limit(MAX_SOURCES + 1).collect()  # a row for each source, bounded
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: give sources that are mixed alike one name")
-    rows_of = {r["key"]: r["count"] for r in sizes}
+    sizes = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "mix-sources")
+    rows_of = {r["key"]: r["n"] for r in sizes.toLocalIterator()}
     wanted = tempered(rows_of, power)
     if weights is not None:
         given = {"" if k is None else f"={k}": w for k, w in weights.items() if w and w > 0}
         wanted = {k: given.get(k, min(given.values(), default=1.0)) for k in rows_of}
 
     # places within a source: buckets of hash ranges, so that a large source is many sort groups
-    buckets = {k: min(MAX_BUCKETS, -(-n // BUCKET_ROWS)) for k, n in rows_of.items()}
-    n_buckets = spark.createDataFrame(list(buckets.items()) or [("", 1)], "key string, k long")
-    rows = rows.join(F.broadcast(n_buckets), "key")
+    n_buckets = sizes.select("key", F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("n") / BUCKET_ROWS)).cast("long").alias("k"))
+    rows = rows.join(F.broadcast(n_buckets) if len(rows_of) <= BROADCAST_SOURCES else n_buckets, "key")
     rows = rows.withColumn("bucket", F.shiftright(F.shiftrightunsigned("h", 33) * F.col("k"), 31)).drop("k")
     offsets = rows.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))

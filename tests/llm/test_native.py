@@ -281,6 +281,14 @@ def test_exact_weights_until_sources_end(weights):
         assert all(abs(have[j] - (blocks[j] - left[j])) < 1 for j in range(len(blocks)))
 
 
+def test_mixing_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 100)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 800, "hot").otherwise((F.col("id") % 700).cast("string")).alias("source"))
+    got = mixing.mix(docs, block_rows=2).collect()
+    assert len({r["source"] for r in got}) == 701 and sorted(r["mix_position"] for r in got) == list(range(3000))
+    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in got)
+
+
 def test_whole_shares():
     assert mixing.whole_shares({"a": 1.0, "b": 1e-9}) == {"a": 999, "b": 1}
     assert sum(mixing.whole_shares({str(i): i + 1.0 for i in range(300)}).values()) == 1200
