@@ -8,7 +8,8 @@ Every window of a test item (13 consecutive words, or the whole item if it is sh
 its rarest term, by postings. The postings of these anchor terms, adjusted by the term's offset in
 the item, give candidate alignments (row, item, shift); these are then intersected with the offset
 adjusted lists of the item's other terms. Runs of matched offsets as long as the window are exact
-phrase matches. ``proximity`` finds rows where an item's rarest terms stand close in any order.
+phrase matches. ``proximity`` finds rows where an item's rarest terms stand close in any order;
+``near_matches`` gives them by row.
 
 Defined results: null text has no words; a row without words is never contaminated; items without
 words are ignored; items with equal words match together, each under its own id; null item ids are
@@ -134,6 +135,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
 
 
+def near_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 3, slop: int = 20) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_near, near_items, LOCATOR; items whose rarest terms stand close in any order.
+
+    The ids in near_items are in order and comma-joined. Rows are listed whether or
+    not they are contaminated.
+    """
+    rows = docs if FILE in docs.columns else located(docs.select("doc_id", "text"))
+    items = TestItems(benchmark)
+    index = build_index(rows, items)
+    met = stored(proximity(index, items, terms, slop).select(*LOCATOR, "item").distinct(), "near-matches")
+    named = (
+        met.join(_small(items.items.select("item", F.explode("ids").alias("id")), items.n_words), "item")
+        .groupBy(*LOCATOR).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    )
+    ids = F.coalesce("ids", F.array().cast("array<string>"))
+    joined = rows.select("doc_id", *LOCATOR).join(named, list(LOCATOR), "left")
+    return joined.select("doc_id", F.size(ids).cast("long").alias("n_near"), F.array_join(ids, ",").alias("near_items"), *LOCATOR)
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without its contaminated rows; all columns stay."""
     rows = located(docs)

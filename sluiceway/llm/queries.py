@@ -45,6 +45,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, items).drop(*LOCATOR)
 
 
+def op7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.near_matches(docs, items).drop(*LOCATOR)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_classes(table(spark, sf_dir, "documents")).drop(*LOCATOR)
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op7_proximity": op7_proximity,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,

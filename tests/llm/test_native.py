@@ -119,6 +119,16 @@ def test_proximity(spark):
     assert sorted(r["doc_id"] for r in near.join(docs, list(LOCATOR)).collect()) == [1, 3]
 
 
+def test_proximity_is_a_query(spark, tmp_path):
+    from sluiceway.llm import queries
+
+    docs = [(1, "x alpha y y beta z gamma"), (2, "alpha " + "y " * 50 + "beta gamma"), (3, "gamma beta alpha"), (3, "gamma beta alpha"), (None, None)]
+    spark.createDataFrame(docs, "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "alpha beta gamma"), (8, "Alpha beta, gamma"), (9, "other words")], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries.QUERIES["op7_proximity"](spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["n_near"], r["near_items"]) for r in got) == Counter({(1, 2, "7,8"): 1, (2, 0, ""): 1, (3, 2, "7,8"): 2, (None, 0, ""): 1})
+
+
 def find(text, patterns, ok):
     out = [(m.start(), o, m.end(), k) for o, (k, p) in enumerate(patterns) for m in re.finditer(p, text or "") if ok(k, m)]
     return sorted(out)
