@@ -128,13 +128,16 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def verify_task(tree: int, blocks: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, threshold: Fraction):
-    """Sum of linked copies of each member, and for each member the first member of its component, in one task."""
+def verify_task(tree: int, cross: bool, blocks: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, threshold: Fraction):
+    """Sum of linked copies of each member, and for each member the first member of its component, in one task.
+
+    A ``cross`` task is one of two blocks, either of which may be empty; only pairs across them count there.
+    """
     size = np.array([len(s) for s in sets])
     both = intersections(sets)
     linked = threshold.denominator * both >= threshold.numerator * (size[:, None] + size[None, :] - both)
     np.fill_diagonal(linked, False)
-    if blocks.min() != blocks.max():
+    if cross:
         linked &= blocks[:, None] != blocks[None, :]
     for earlier in range(tree):
         linked &= keys[:, earlier][:, None] != keys[:, earlier][None, :]
@@ -162,7 +165,7 @@ def verified(tasks: DataFrame, threshold: Fraction) -> DataFrame:
             rows = rows.drop_duplicates("set_id")
             held.clear()
             ids = rows["set_id"].to_numpy()
-            links, label = verify_task(int(rows["tree"].iloc[0]), rows["block"].to_numpy(), np.stack(rows["keys"].to_numpy()),
+            links, label = verify_task(int(rows["tree"].iloc[0]), bool(rows["i"].iloc[0] != rows["j"].iloc[0]), rows["block"].to_numpy(), np.stack(rows["keys"].to_numpy()),
                                        [np.asarray(s).view(np.uint64) for s in rows["shingles"]], rows["copies"].to_numpy(), threshold)
             out = pd.DataFrame({"set_id": ids, "other": ids[label], "links": links})
             return out[(out["links"] > 0) | (out["set_id"] != out["other"])]

@@ -165,6 +165,17 @@ def test_near_duplicates_in_a_large_group(spark, monkeypatch):
     assert missing <= 2 and {k[:2] for k in got} == {k[:2] for k in want}
 
 
+def test_near_duplicates_with_empty_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 70)  # a pair's two texts are dealt into several blocks
+    rng = random.Random(8)
+    texts = []
+    for _ in range(12):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        texts += [" ".join(w), " ".join([*w[:-1], "changed"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {r["n_links"] for r in near_dup.near_classes(docs).collect()} == {1}
+
+
 def test_depth_meets_the_recall():
     d = near_dup.depth_for()
     assert 1 - (1 - 0.8**d) ** near_dup.TREES >= near_dup.TARGET_RECALL > 1 - (1 - 0.8 ** (d + 1)) ** near_dup.TREES
