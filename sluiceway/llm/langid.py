@@ -4,8 +4,9 @@ A word that the model knows scores by its log frequency in each language. An uns
 back to its character 4-grams, then 3-, 2- and 1-grams: the longest length of which any gram is
 known decides. Word scores are centred over the languages and added up.
 
-The model is fitted on a bounded sample of the training rows (``max_rows``), and holds at most
-``max_entries`` words and as many grams of each length, so broadcasting it is bounded too.
+The model is fitted on a bounded sample of the training rows: ``max_rows`` shared out evenly over the
+languages, with ``LEAST_ROWS`` for each at least, so a rare language is learned from all its rows. It
+holds every word and gram of the sample, which thus bounds what is broadcast.
 
 Defined results: a text that is null or has no letter gives ``und`` with score 0, as does every
 text when no row can be learned from; ties go to the first language by name; text of unknown
@@ -34,7 +35,7 @@ from sluiceway.llm.common import stored
 LETTERS = re.compile(r"[^\W\d_]+")
 LENGTHS = (4, 3, 2, 1)
 UNKNOWN = "und"
-MAX_ROWS, MAX_ENTRIES, CACHE, GROUP = 8_000, 60_000, 300_000, 64
+MAX_ROWS, LEAST_ROWS, CACHE, GROUP = 16_000, 250, 300_000, 64
 _SPAN = 1 << 30
 
 
@@ -50,11 +51,11 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """tables[0] maps words, tables[n] maps n-grams, to a centred log frequency for each language."""
+    """tables[0] holds words, tables[n] n-grams, each with rows of centred log frequencies for each language."""
 
     languages: list[str]
     prior: np.ndarray
-    tables: dict[int, dict[str, np.ndarray]]
+    tables: dict[int, tuple[list[str], np.ndarray]]
 
 
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -78,17 +79,16 @@ class WordRows:
 
     def __init__(self, model: Model, size: int = CACHE):
         self.n = len(model.languages)
-        self.known = {w: i for i, w in enumerate(model.tables[0])}
-        self.scores = np.zeros((len(self.known) + size, self.n))
-        if self.known:
-            self.scores[: len(self.known)] = np.stack(list(model.tables[0].values()))
+        names, values = model.tables[0]
+        self.known = {w: i for i, w in enumerate(names)}
+        self.scores = np.concatenate([np.reshape(values, (len(names), self.n)), np.zeros((size, self.n))])
         self.rows = dict(self.known)
         self.grams = {}
         for n in LENGTHS:
-            table = model.tables[n]
-            h = np.array([_gram_hashes(_codes(g), n)[0] for g in table], dtype=np.uint64)
+            names, values = model.tables[n]
+            h = _gram_hashes(_codes("".join(names)), n)[::n] if names else np.zeros(0, dtype=np.uint64)
             order = np.argsort(h)
-            self.grams[n] = h[order], (np.stack(list(table.values()))[order] if table else np.zeros((0, self.n)))
+            self.grams[n] = h[order], np.reshape(values, (len(names), self.n))[order]
 
     def back_off(self, unseen: list[str]) -> np.ndarray:
         """Scores of unseen words: the mean over the known grams of the longest length of which any is known."""
@@ -153,10 +153,20 @@ def bounded_sample(rows: DataFrame, max_rows: int, *key: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(*key), F.lit(_SPAN)) < int(_SPAN * max_rows / n))
 
 
-def train(rows: DataFrame, max_rows: int = MAX_ROWS, max_entries: int = MAX_ENTRIES) -> Model:
-    """Fit on rows (text, lang) with neither null."""
+def stratified_sample(rows: DataFrame, max_rows: int, least: int = LEAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The languages' sizes (lang, n), and rows (doc_id, text, lang), about ``max_rows`` shared out evenly over the languages and ``least`` for each, chosen by hash."""
+    rows = rows.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    sizes = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langid-sizes")
+    quota = max(least, max_rows // max(sizes.count(), 1))
+    share = sizes.select("lang", F.least(F.lit(_SPAN), F.ceil(F.lit(float(_SPAN * quota)) / F.col("n"))).cast("long").alias("share"))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(_SPAN))
+    return sizes, rows.join(F.broadcast(share), "lang").where(place < F.col("share")).drop("share").distinct()  # one row a language is broadcast
+
+
+def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+    """Fit on a sample of the rows (doc_id, text, lang) with neither text nor lang null."""
     send_package(rows.sparkSession)
-    sample = bounded_sample(rows.where("text is not null and lang is not null"), max_rows, "doc_id", "text")
+    sizes, sample = stratified_sample(rows, max_rows)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -173,27 +183,24 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS, max_entries: int = MAX_ENTR
             yield pd.DataFrame([(*key, k) for key, k in out.items()], columns=["lang", "n", "gram", "k"])
 
     partial = sample.select("text", "lang").mapInPandas(counted, "lang string, n int, gram string, k long")
-    seen = stored(partial.groupBy("lang", "n", "gram").agg(F.sum("k").alias("k")), "langid-counts")  # read once for each table
-    counts = (
-        seen.groupBy("n", "gram").pivot("lang", sorted(r[0] for r in sample.select("lang").distinct().collect())).sum("k")
-        .na.fill(0)
-    )
-    languages = counts.columns[2:]
-    if not languages:
-        return Model([], np.zeros(0), {n: {} for n in (0, *LENGTHS)})
-    total = sum((F.col(f"`{c}`") for c in languages), F.lit(0))
-    tables: dict[int, dict[str, np.ndarray]] = {}
-    mass = np.zeros(len(languages))
+    # the sample bounds what comes to the driver
+    return fitted(partial.groupBy("lang", "n", "gram").agg(F.sum("k").alias("k")).toPandas(), {r["lang"]: r["n"] for r in sizes.collect()})
+
+
+def fitted(counts: pd.DataFrame, sizes: dict[str, int]) -> Model:
+    """The model of counts (lang, n, gram, k), n being 0 for words, of languages with so many rows each."""
+    languages = sorted(sizes)
+    place = {x: i for i, x in enumerate(languages)}
+    tables: dict[int, tuple[list[str], np.ndarray]] = {}
     for n in (0, *LENGTHS):
-        top = counts.where((F.col("n") == n) & (total >= 2)).orderBy(total.desc(), "gram").limit(max_entries).toPandas()
-        k = top[languages].to_numpy(dtype=float)
-        sums = k.sum(axis=0)
-        if n == 0:
-            mass = sums
-        logs = np.log((k + 0.5) / (sums + 0.5 * max(1, len(k))))
-        tables[n] = dict(zip(top["gram"], logs - logs.mean(axis=1, keepdims=True), strict=True))
-    prior = np.log(mass + 1)
-    return Model(list(languages), (prior - prior.mean()), tables)
+        part = counts[counts["n"] == n]
+        names, row = np.unique(part["gram"].to_numpy(dtype=str), return_inverse=True)
+        k = np.zeros((len(names), len(languages)))
+        k[row, part["lang"].map(place).to_numpy(dtype=int)] = part["k"]
+        logs = np.log((k + 0.5) / (k.sum(axis=0) + 0.5 * max(1, len(k))))
+        tables[n] = names.tolist(), logs - logs.mean(axis=1, keepdims=True) if languages else logs
+    prior = np.log(np.array([sizes[x] for x in languages], dtype=float))
+    return Model(languages, prior - prior.mean() if languages else prior, tables)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
