@@ -6,12 +6,13 @@ from labelled rows: words and stems (prefixes) whose share of toxic texts stands
 training row gets its features from a lexicon learned without its fold, so that the trees meet
 lexicon hits as they occur on new texts. The trees' out-of-fold margins fit the calibration.
 
-The classifier is fitted on a bounded sample (``max_rows``) of labelled rows; its lexicon holds at
-most ``max_lexicon`` entries.
+The classifier is fitted on a bounded sample (``max_rows``) of labelled rows, which also bounds the
+words that its lexicon can hold; no entry that stands out is left out.
 
 Defined results: null text is scored as the empty text; without labels of both kinds every score
 is the share of label 1 among them, and 0 without any; ids and further columns have no influence
-on a score; repeated rows are scored one by one; an empty table gives an empty result.
+on a score; repeated rows are scored one by one and learned from once; a doc_id whose labels differ
+isn't learned from; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.deploy import send_package
+from sluiceway.llm.common import WHOLE, kept_columns, stored
 from sluiceway.llm.langid import bounded_sample
 
-MAX_ROWS, MAX_LEXICON, CACHE = 20_000, 4_000, 200_000
+MAX_ROWS, CACHE = 20_000, 200_000
 FOLDS, MIN_SUPPORT, MIN_Z = 4, 4, 4.0
 STEMS = range(3, 9)
 WORD = re.compile(r"[^\W_]+(?:[@$!*][^\W_]+)*")
@@ -38,7 +40,7 @@ OBFUSCATED = re.compile(r"[^\W\d_](?:[@$!*]|[0134579])+[^\W\d_]")
 STRETCHED = re.compile(r"([^\W\d_])\1\1")
 CAPITALS = re.compile(r"\b[A-Z]{3,}\b")
 RUNS = re.compile(r"[!?]{2,}")
-PLAIN = str.maketrans("013457@$!*", "oieastasi" + "u")
+PLAIN = str.maketrans("013457@$!*", "oieastasiu")
 #: Second-person words (fixed values).
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer sie ihnen tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split()
@@ -195,7 +197,7 @@ class Model:
         return np.interp(self.trees.margin(x), *self.knots)
 
 
-def lexicon_from(pos: np.ndarray, neg: np.ndarray, names: np.ndarray, n_pos: float, n_neg: float, most: int) -> dict[str, float]:
+def lexicon_from(pos: np.ndarray, neg: np.ndarray, names: np.ndarray, n_pos: float, n_neg: float) -> dict[str, float]:
     """Entries whose document share among label 1 exceeds that among label 0 by MIN_Z standard errors."""
     if not n_pos or not n_neg:
         return {}
@@ -204,16 +206,17 @@ def lexicon_from(pos: np.ndarray, neg: np.ndarray, names: np.ndarray, n_pos: flo
     z = (p - q) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n_pos + 1 / n_neg))
     odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
     good = np.flatnonzero((pos >= MIN_SUPPORT) & (z >= MIN_Z) & (odds > 0.7))
-    good = good[np.lexsort((names[good], -z[good]))][:most]
+    good = good[np.argsort(names[good])]
     return {str(names[i]): float(odds[i]) for i in good}
 
 
-def train(rows: DataFrame, max_rows: int = MAX_ROWS, max_lexicon: int = MAX_LEXICON) -> Model:
-    """Fit on rows (doc_id, text, toxic), one for each labelled text."""
+def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+    """Fit on about ``max_rows`` of the rows (doc_id, text, toxic) at most; a repeated row counts once."""
     spark = rows.sparkSession
     send_package(spark)
     fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
-    sample = rows.select("text", F.col("toxic").cast("int").alias("toxic"), fold.alias("fold"))
+    few = bounded_sample(rows.where("toxic in (0, 1)").select("doc_id", "text", "toxic").distinct(), max_rows, "doc_id", "text")
+    sample = stored(few.select("text", F.col("toxic").cast("int").alias("toxic"), fold.alias("fold")), "toxicity-sample")
     sizes = sample.groupBy("fold").agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).toPandas()
     n, n_pos = float(sizes["n"].sum()), float(sizes["p"].sum())
     if not n_pos or n_pos == n:
@@ -228,18 +231,16 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS, max_lexicon: int = MAX_LEXI
 
     per_fold = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == v), F.col("k")).otherwise(0)).alias(f"k{f}_{v}") for f in range(FOLDS) for v in (0, 1)]
     seen = sample.mapInPandas(counted, "entry string, fold int, toxic int, k long").groupBy("entry").agg(*per_fold)
-    # only what stands out among all rows can enter a lexicon; the bound holds for what reaches the driver
-    pos, neg = (sum(F.col(f"k{f}_{v}") for f in range(FOLDS)) for v in (1, 0))
-    lift = (pos + F.lit(0.5)) / (n_pos + 1) / ((neg + F.lit(0.5)) / (n - n_pos + 1))
-    top = seen.where((pos >= MIN_SUPPORT) & (lift > 1.5)).orderBy((pos / n_pos - neg / (n - n_pos)).desc(), "entry").limit(4 * max_lexicon).toPandas()
+    # an entry of less support can enter no lexicon; the sample bounds how many entries there are
+    top = seen.where(sum(F.col(f"k{f}_1") for f in range(FOLDS)) >= MIN_SUPPORT).toPandas()
     k = {v: np.stack([top[f"k{f}_{v}"].to_numpy(dtype=float) for f in range(FOLDS)]) for v in (0, 1)}
     names = top["entry"].to_numpy(dtype=object)
     in_fold = {int(f): (float(a), float(p)) for f, a, p in sizes.itertuples(index=False)}
     without = {}
     for f in range(FOLDS):
         a, p = in_fold.get(f, (0.0, 0.0))
-        without[f] = lexicon_from(k[1].sum(0) - k[1][f], k[0].sum(0) - k[0][f], names, n_pos - p, n - n_pos - (a - p), max_lexicon)
-    lexicon = lexicon_from(k[1].sum(0), k[0].sum(0), names, n_pos, n - n_pos, max_lexicon)
+        without[f] = lexicon_from(k[1].sum(0) - k[1][f], k[0].sum(0) - k[0][f], names, n_pos - p, n - n_pos - (a - p))
+    lexicon = lexicon_from(k[1].sum(0), k[0].sum(0), names, n_pos, n - n_pos)
     shipped = spark.sparkContext.broadcast(without)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,14 +262,14 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS, max_lexicon: int = MAX_LEXI
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Texts of a bounded sample of the labels; a doc_id with labels that differ is left out."""
+    """(doc_id, text, toxic) for a bounded sample of the labels; a doc_id with labels that differ is left out."""
     ids = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
     few = bounded_sample(ids.where("toxic = most").drop("most"), max_rows, "doc_id")
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # bounded by max_rows
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").distinct()  # bounded by max_rows
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with score and predicted."""
+    """``docs`` with score and predicted, in place of columns of these names."""
     send_package(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -283,5 +284,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of ``docs`` that a model fitted on ``labels`` doesn't reject, with their columns."""
     model = train(labelled(docs, labels, max_rows), max_rows)
-    kept = score(docs.withColumn("__all", F.struct(*docs.columns)).select("__all", "text"), model).where("predicted = 0")
-    return kept.select("__all.*")
+    kept = score(docs.select(F.struct("*").alias(WHOLE), "text"), model).where("predicted = 0")
+    return kept.select(*kept_columns(docs))
