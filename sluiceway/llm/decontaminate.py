@@ -1,19 +1,21 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index stores one posting (row, term, position) for every training token whose term the test
-items use; no other token can take part in a match. It is a table in the shared folder, written in
-one pass over the texts, and it also carries each row's number of words.
+The index stores one posting (row, term, position) for every token of the training texts, whatever
+the test items hold, so other test sets can be matched against the same index. Terms are 64-bit
+hashes of words. It is a table in the shared folder, written in one pass over the texts, and it also
+carries each row's number of words.
 
 Every window of a test item (13 consecutive words, or the whole item if it is shorter) starts from
 its rarest term, by postings. The postings of these anchor terms, adjusted by the term's offset in
 the item, give candidate alignments (row, item, shift); these are then intersected with the offset
-adjusted lists of the item's other terms. Runs of matched offsets as long as the window are exact
-phrase matches. ``proximity`` finds rows where an item's rarest terms stand close in any order;
-``near_matches`` gives them by row.
+adjusted lists of the item's other terms, for which only the postings of rows with a candidate are
+read on. Runs of matched offsets as long as the window are exact phrase matches. A proximity match
+is a place where an item's rarest terms all stand close, in any order.
 
 Defined results: null text has no words; a row without words is never contaminated; items without
-words are ignored; items with equal words match together, each under its own id; null item ids are
-not listed; repeated rows and ids are judged row by row; empty tables give empty results or none hit.
+words are ignored; items with equal words match together, each under its own id; a null item id
+hits words and is not listed or counted; repeated rows and ids are judged row by row; empty tables
+give empty results or none hit.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import FILE, LOCATOR, located, stored, words
+from sluiceway.llm.common import LOCATOR, WHOLE, kept_columns, located, stored, words
 
 WINDOW = 13
+NEAR_TERMS, SLOP = 3, 20  # a proximity match: so many rarest terms within so many words
 #: Sides of joins with the test set are broadcast up to this many rows, and shuffled beyond it.
 BROADCAST_ROWS = 500_000
-END = -1  # the term of the posting that ends each row: its position is the number of words
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -34,7 +36,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 class TestItems:
-    """Test items by their words: items (item, ws, ids), item_words (item, ipos, n, term) and terms (word, term)."""
+    """Test items by their words: items (item, ws, ids) and item_words (item, n, ipos, word, term)."""
 
     __test__ = False
 
@@ -47,23 +49,24 @@ class TestItems:
         )
         self.items = stored(by_words.select(F.monotonically_increasing_id().alias("item"), "ws", "ids"), "items")
         spelled = self.items.select("item", F.size("ws").alias("n"), F.posexplode("ws").alias("ipos", "word"))
-        self.terms = stored(spelled.select("word").distinct().select("word", F.monotonically_increasing_id().alias("term")), "terms")
-        self.n_terms = self.terms.count()
-        self.item_words = stored(spelled.join(self.terms, "word").drop("word"), "item-words")
+        self.item_words = stored(spelled.withColumn("term", F.xxhash64("word")), "item-words")
         self.n_words = self.item_words.count()
+        self.terms = _small(self.item_words.select("term").distinct(), self.n_words)
 
 
-def build_index(rows: DataFrame, items: TestItems) -> DataFrame:
-    """Postings (LOCATOR, term, pos) of located ``rows``, stored."""
-    tokens = rows.select(*LOCATOR, F.posexplode(F.concat(words(F.col("text")), F.array(F.lit("")))).alias("pos", "word"))
-    ended = items.terms.unionByName(items.terms.sparkSession.createDataFrame([("", END)], "word string, term long"))
-    postings = tokens.join(_small(ended, items.n_terms), "word").select(*LOCATOR, "term", "pos")
-    return stored(postings, "postings")
+def build_index(rows: DataFrame) -> DataFrame:
+    """Postings (LOCATOR, term, pos) of every token of located ``rows``, stored; the posting without a term ends a row."""
+    terms = F.concat(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)), F.array(F.lit(None).cast("long")))
+    return stored(rows.select(*LOCATOR, F.posexplode(terms).alias("pos", "term")), "postings")
 
 
-def anchors(index: DataFrame, items: TestItems, window: int) -> DataFrame:
+def frequencies(index: DataFrame, items: TestItems) -> DataFrame:
+    """(term, df): the number of postings of the items' terms, stored."""
+    return stored(index.join(items.terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+
+
+def anchors(frequency: DataFrame, items: TestItems, window: int) -> DataFrame:
     """(item, ipos, term) of the rarest term of every window that can occur."""
-    frequency = index.where(F.col("term") != END).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     ahead = Window.partitionBy("item").orderBy("ipos").rowsBetween(0, window - 1)
     return (
         items.item_words.join(frequency, "term", "left")
@@ -75,87 +78,88 @@ def anchors(index: DataFrame, items: TestItems, window: int) -> DataFrame:
     )
 
 
-def phrases(index: DataFrame, items: TestItems, window: int = WINDOW) -> DataFrame:
+def phrases(index: DataFrame, items: TestItems, frequency: DataFrame, window: int = WINDOW) -> DataFrame:
     """Exact matches (LOCATOR, item, shift, starts): offsets in the item at which a whole window occurs in the row."""
-    first = stored(anchors(index, items, window), "anchors")
-    shifted = (
+    first = stored(anchors(frequency, items, window), "anchors")
+    shifted = stored(
         index.join(_small(first, items.n_words), "term")
         .select(*LOCATOR, "item", (F.col("pos") - F.col("ipos")).alias("shift"))
-        .distinct()
+        .distinct(),
+        "alignments",
     )
+    aligned = shifted.select(*LOCATOR).distinct()
+    read = index.join(items.terms, "term", "left_semi").join(_small(aligned, aligned.count()), list(LOCATOR), "left_semi")
     expected = shifted.join(_small(items.item_words, items.n_words), "item").select(
         *LOCATOR, "item", "shift", "ipos", "n", "term", (F.col("shift") + F.col("ipos")).alias("pos")
     ).where("pos >= 0")
-    met = expected.join(index, [*LOCATOR, "pos", "term"])
+    met = expected.join(read, [*LOCATOR, "pos", "term"])
     met = met.groupBy(*LOCATOR, "item", "shift").agg(F.array_sort(F.collect_list("ipos")).alias("at"), F.first("n").alias("n"))
     size = F.least(F.col("n"), F.lit(window))
     starts = F.filter(F.col("at"), lambda p, i: F.get(F.col("at"), i + size - 1) == p + size - 1)
     return met.select(*LOCATOR, "item", "shift", size.alias("size"), starts.alias("starts")).where(F.size("starts") > 0)
 
 
-def proximity(index: DataFrame, items: TestItems, terms: int = 3, slop: int = 20) -> DataFrame:
-    """(LOCATOR, item, pos): rows where the item's ``terms`` rarest terms all stand within ``slop`` words from pos on."""
-    frequency = index.where(F.col("term") != END).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    ranked = items.item_words.select("item", "term").distinct().join(frequency, "term", "left")
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "term"))
+def proximity(index: DataFrame, items: TestItems, frequency: DataFrame, terms: int = NEAR_TERMS, slop: int = SLOP) -> DataFrame:
+    """(LOCATOR, item, pos): places of rows from which the item's ``terms`` rarest terms all stand within ``slop`` words."""
+    ranked = items.item_words.groupBy("item", "word", "term").agg(F.count(F.lit(1)).alias("times")).join(frequency, "term", "left")
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "word"))
     every = F.count(F.lit(1)).over(Window.partitionBy("item"))
     rare = ranked.select("item", "term", rank.alias("r"), F.least(every, F.lit(terms)).alias("needed")).where(F.col("r") <= terms)
+    hits = index.join(_small(rare, items.n_words), "term")
+    # rows that hold all of them anywhere come first: a set of three a row and item, made in each task
+    whole = hits.groupBy(*LOCATOR, "item").agg(F.size(F.collect_set("term")).alias("n"), F.first("needed").alias("of")).where("n = of")
+    hits = hits.join(whole.select(*LOCATOR, "item"), [*LOCATOR, "item"], "left_semi")
     near = Window.partitionBy(*LOCATOR, "item").orderBy("pos").rangeBetween(0, slop)
-    met = index.join(_small(rare, items.n_words), "term").withColumn("n", F.size(F.collect_set("term").over(near)))
+    met = hits.withColumn("n", F.size(F.collect_set("term").over(near)))
     return met.where(F.col("n") == F.col("needed")).select(*LOCATOR, "item", "pos")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, LOCATOR."""
-    rows = docs if FILE in docs.columns else located(docs.select("doc_id", "text"))
+def named(found: DataFrame, items: TestItems) -> DataFrame:
+    """(LOCATOR, ids): the ids, in order, of the items found in each row."""
+    ids = items.items.select("item", F.explode("ids").alias("id"))
+    joined = found.select(*LOCATOR, "item").distinct().join(_small(ids, items.n_words), "item")
+    return joined.groupBy(*LOCATOR).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, near_items, LOCATOR.
+
+    near_items are the ids, in order and comma-joined, of the items with a proximity match; these alone don't make a row contaminated.
+    """
+    return judged(located(docs, "doc_id", "text"), benchmark, **options)
+
+
+def judged(rows: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: bool = True) -> DataFrame:
+    """``contamination`` of located rows; without ``near``, proximity matches aren't looked for and their columns are absent."""
     items = TestItems(benchmark)
-    index = build_index(rows, items)
-    found = stored(phrases(index, items, window), "phrases")
+    index = build_index(rows)
+    frequency = frequencies(index, items)
+    found = stored(phrases(index, items, frequency, window), "phrases")
     hit = (
         found.select(*LOCATOR, F.explode(F.array_distinct(F.flatten(F.transform(
             "starts", lambda s: F.sequence(s + F.col("shift"), s + F.col("shift") + F.col("size") - 1))))).alias("pos"))
         .distinct().groupBy(*LOCATOR).agg(F.count(F.lit(1)).alias("n_hit"))
     )
-    named = (
-        found.select(*LOCATOR, "item").distinct()
-        .join(_small(items.items.select("item", F.explode("ids").alias("id")), items.n_words), "item")
-        .groupBy(*LOCATOR).agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    )
-    sizes = index.where(F.col("term") == END).select(*LOCATOR, F.col("pos").cast("long").alias("n_words"))
-    ids = rows.select("doc_id", *LOCATOR)
+    sizes = index.where(F.col("term").isNull()).select(*LOCATOR, F.col("pos").cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    no_ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return (
-        ids.join(sizes, list(LOCATOR)).join(hit, list(LOCATOR), "left").join(named, list(LOCATOR), "left")
-        .select(
-            "doc_id", "n_words", n_hit.alias("n_hit"), F.size(no_ids).cast("long").alias("n_items"),
-            F.sha2(F.array_join(no_ids, ","), 256).alias("items_sha256"),
-            ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), *LOCATOR,
-        )
-    )
-
-
-def near_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 3, slop: int = 20) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_near, near_items, LOCATOR; items whose rarest terms stand close in any order.
-
-    The ids in near_items are in order and comma-joined. Rows are listed whether or
-    not they are contaminated.
-    """
-    rows = docs if FILE in docs.columns else located(docs.select("doc_id", "text"))
-    items = TestItems(benchmark)
-    index = build_index(rows, items)
-    met = stored(proximity(index, items, terms, slop).select(*LOCATOR, "item").distinct(), "near-matches")
-    named = (
-        met.join(_small(items.items.select("item", F.explode("ids").alias("id")), items.n_words), "item")
-        .groupBy(*LOCATOR).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    none = F.array().cast("array<string>")
+    ids = F.coalesce("ids", none)
+    out = rows.select("doc_id", *LOCATOR).join(sizes, list(LOCATOR)).join(hit, list(LOCATOR), "left").join(named(found, items), list(LOCATOR), "left")
+    more = []
+    if near:
+        met = stored(proximity(index, items, frequency).select(*LOCATOR, "item").distinct(), "near-matches")
+        out = out.join(named(met, items).withColumnRenamed("ids", "near_ids"), list(LOCATOR), "left")
+        near_ids = F.coalesce("near_ids", none)
+        more = [F.size(near_ids).cast("long").alias("n_near"), F.array_join(near_ids, ",").alias("near_items")]
+    return out.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), *more, *LOCATOR,
     )
-    ids = F.coalesce("ids", F.array().cast("array<string>"))
-    joined = rows.select("doc_id", *LOCATOR).join(named, list(LOCATOR), "left")
-    return joined.select("doc_id", F.size(ids).cast("long").alias("n_near"), F.array_join(ids, ",").alias("near_items"), *LOCATOR)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without its contaminated rows; all columns stay."""
-    rows = located(docs)
-    gone = contamination(rows, benchmark).where("contaminated").select(*LOCATOR)
-    return rows.join(gone, list(LOCATOR), "left_anti").select(*docs.columns)
+    rows = located(docs, "doc_id", "text", whole=True)
+    gone = judged(rows.drop(WHOLE), benchmark, near=False).where("contaminated").select(*LOCATOR)
+    return rows.select(WHOLE, *LOCATOR).join(gone, list(LOCATOR), "left_anti").select(*kept_columns(docs))

@@ -45,11 +45,6 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(docs, items).drop(*LOCATOR)
 
 
-def op7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return decontaminate.near_matches(docs, items).drop(*LOCATOR)
-
-
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_classes(table(spark, sf_dir, "documents")).drop(*LOCATOR)
 
@@ -71,7 +66,6 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_decontaminate": op7_decontaminate,
-    "op7_proximity": op7_proximity,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
@@ -124,11 +118,25 @@ WITH dw AS (
 ), it AS (
   SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
   FROM (SELECT DISTINCT doc_id, item_id::varchar AS i FROM occ) GROUP BY 1
+), tok AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM dw
+), rk AS (
+  SELECT item_id, t.w, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(df, 0), t.w) AS r, count(*) OVER (PARTITION BY item_id) AS m
+  FROM (SELECT DISTINCT item_id, unnest(ws) AS w FROM bw) t LEFT JOIN (SELECT w, count(*) AS df FROM tok GROUP BY 1) f ON f.w = t.w
+), at AS (
+  SELECT doc_id, item_id, pos, rk.w, least(m, 3) AS needed FROM tok JOIN rk ON rk.w = tok.w AND r <= 3
+), near AS (
+  SELECT DISTINCT a.doc_id, a.item_id::varchar AS i
+  FROM at a JOIN at b ON b.doc_id = a.doc_id AND b.item_id = a.item_id AND b.pos BETWEEN a.pos AND a.pos + 20
+  GROUP BY a.doc_id, a.item_id, a.pos, a.needed HAVING count(DISTINCT b.w) = a.needed
+), nit AS (
+  SELECT doc_id, count(*) AS n_near, string_agg(i, ',' ORDER BY i) AS ids FROM near GROUP BY 1
 )
 SELECT dw.doc_id, len(dw.ws)::bigint AS n_words, coalesce(pos.n_hit, 0) AS n_hit, coalesce(it.n_items, 0) AS n_items,
        sha256(coalesce(it.ids, '')) AS items_sha256,
-       coalesce(pos.n_hit, 0) > 0 AND 20 * coalesce(pos.n_hit, 0) >= len(dw.ws) AS contaminated
-FROM dw LEFT JOIN pos ON pos.doc_id = dw.doc_id LEFT JOIN it ON it.doc_id = dw.doc_id
+       coalesce(pos.n_hit, 0) > 0 AND 20 * coalesce(pos.n_hit, 0) >= len(dw.ws) AS contaminated,
+       coalesce(nit.n_near, 0) AS n_near, coalesce(nit.ids, '') AS near_items
+FROM dw LEFT JOIN pos ON pos.doc_id = dw.doc_id LEFT JOIN it ON it.doc_id = dw.doc_id LEFT JOIN nit ON nit.doc_id = dw.doc_id
 """,
     "op6_exact_dedup": r"""
 WITH d AS (
