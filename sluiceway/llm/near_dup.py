@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.deploy import send_package
-from sluiceway.llm.common import FILE, LOCATOR, first_row, located, stored
+from sluiceway.llm.common import FILE, LOCATOR, ROW, WHOLE, first_row, kept_columns, located, stored
 
 SHINGLE, THRESHOLD = 5, Fraction(4, 5)
 TREES, MAX_DEPTH, TARGET_RECALL = 20, 8, 0.9999
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
 BROADCAST_ROWS = 300_000
+SALTS = 16  # parts of a hot key in joins
 #: Bytes of words stand for themselves, A-Z for a-z, and all others for a space.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _CACHE = 500_000
@@ -191,11 +192,18 @@ def verified(tasks: DataFrame, threshold: Fraction) -> DataFrame:
     return dealt.mapInPandas(run, "set_id string, other string, links long")
 
 
+def salted_join(rows: DataFrame, one: DataFrame, key: str, spread: str) -> DataFrame:
+    """Inner join with a table of one row a key; the rows of a key are dealt into SALTS parts by ``spread``."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    parts = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(parts, [key, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for the nodes of edges (a, b), root the smallest of the component, by alternating stars.
 
-    Every step groups by a node with sums made in each task first; the joins' hot nodes are split
-    by the adaptive skew join. Each round is a table in the shared folder.
+    Every step groups by a node with sums made in each task first; joins deal each node into SALTS
+    parts, so a hot node is never one task's. Each round is a table in the shared folder.
     """
 
     def mark(e: DataFrame):
@@ -206,9 +214,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = salted_join(both.where("b > a"), low, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        small = salted_join(large, low, "a", "b").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         e = stored(small.where("a != b").distinct(), "edges")
         now = mark(e)
         if now == before:
@@ -219,10 +227,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_classes(docs: DataFrame, threshold: Fraction = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH,
-                 target: float = TARGET_RECALL) -> DataFrame:
+def near_classes(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, n_links, kept, LOCATOR; links are to rows with similarity at the threshold or above."""
-    rows = docs if FILE in docs.columns else located(docs.select("doc_id", "text"))
+    return classes_of(located(docs, "doc_id", "text"), **options)
+
+
+def classes_of(rows: DataFrame, threshold: Fraction = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, target: float = TARGET_RECALL) -> DataFrame:
+    """``near_classes`` of located rows."""
     send_package(rows.sparkSession)
     depth = depth_for(trees, max_depth, float(threshold), target)
     signed = stored(signatures(rows, trees, depth), "signatures")
@@ -247,7 +258,7 @@ def near_classes(docs: DataFrame, threshold: Fraction = THRESHOLD, trees: int =
         "tree", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id"), "tasks")
 
     wanted = stored(tasks.select("set_id").distinct().join(reps, "set_id").select(
-        "set_id", "keys", "copies", F.col(f"first.{FILE}").alias(FILE), F.col("first.__row").alias("__row")), "candidates")
+        "set_id", "keys", "copies", F.col(f"first.{FILE}").alias(FILE), F.col(f"first.{ROW}").alias(ROW)), "candidates")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
 
     @F.pandas_udf("array<long>")
@@ -264,10 +275,10 @@ def near_classes(docs: DataFrame, threshold: Fraction = THRESHOLD, trees: int =
     known = known.withColumn("root", F.coalesce("root", "set_id"))
     linked = known.where("copies > 1 or links is not null")
     firsts = linked.groupBy("root").agg(F.min("first").alias("keeper"))
-    info = linked.join(firsts, "root").select("set_id", "keeper", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    info = salted_join(linked, firsts, "root", "set_id").select("set_id", "keeper", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = signed.select("doc_id", *LOCATOR, "set_id").join(info, "set_id", "left")
     alone = F.col("keeper").isNull()
-    own = (F.col(f"keeper.{FILE}") == F.col(FILE)) & (F.col("keeper.__row") == F.col("__row"))
+    own = (F.col(f"keeper.{FILE}") == F.col(FILE)) & (F.col(f"keeper.{ROW}") == F.col(ROW))
     return out.select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keeper.doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | own).alias("kept"), *LOCATOR,
@@ -276,6 +287,6 @@ def near_classes(docs: DataFrame, threshold: Fraction = THRESHOLD, trees: int =
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class, its first; all columns stay."""
-    rows = located(docs)
-    gone = near_classes(rows, **options).where(~F.col("kept")).select(*LOCATOR)
-    return rows.join(gone, list(LOCATOR), "left_anti").select(*docs.columns)
+    rows = located(docs, "doc_id", "text", whole=True)
+    gone = classes_of(rows.drop(WHOLE), **options).where(~F.col("kept")).select(*LOCATOR)
+    return rows.select(WHOLE, *LOCATOR).join(gone, list(LOCATOR), "left_anti").select(*kept_columns(docs))
