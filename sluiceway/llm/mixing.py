@@ -9,7 +9,9 @@ are computed from the exact weights in whole numbers. Every source thus stays le
 from its target at every slot, and every row is placed exactly once.
 
 The schedule depends on the number of rows of each source only. It is a table of blocks, which the
-driver writes piece by piece; it holds the sources' sizes and weights and one piece at a time.
+driver writes piece by piece; it holds the sources' sizes and weights and one piece at a time. Blocks
+grow with the corpus beyond ``MAX_BLOCKS`` blocks, so what the driver walks is bounded but for the
+number of sources.
 
 Defined results: null is a source of its own; a source without a weight, or with a weight that is
 null or not above 0, gets the smallest weight given; repeated rows and null ids are placed row by row, ordered by hash, id
@@ -19,6 +21,7 @@ and locator; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import json
 from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
@@ -28,28 +31,17 @@ from math import lcm
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import FILE, LOCATOR, located, scratch_path, stored
+from sluiceway.llm.common import LOCATOR, WHOLE, kept_columns, located, scratch_path, stored, write_lines
 
 BLOCK_ROWS = 64
 BROADCAST_SOURCES = 300_000  # a table of up to so many sources is broadcast, a larger one shuffled
 BUCKET_ROWS, MAX_BUCKETS = 2_000, 65_536
-PERIOD = 1_000
-PIECE = 200_000  # blocks of the schedule that the driver holds at a time
+#: A block holds BLOCK_ROWS rows, or more where that would make more blocks than the driver should walk.
+MAX_BLOCKS = 2_000_000
+PIECE = 50_000  # blocks of the schedule that the driver holds at a time
 _PLAN = "key string, mix_block long, mix_slot long, mix_release long, mix_deadline long, base_row long"
 
 
-def whole_shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Shares of the period in proportion to the weights, by largest remainder; at least 1 each."""
-    period = max(period, 4 * len(weights))
-    total = sum(weights.values())
-    exact = {k: w / total * (period - len(weights)) for k, w in weights.items()}
-    out = {k: 1 + int(x) for k, x in exact.items()}
-    left = period - sum(out.values())
-    for k in sorted(exact, key=lambda k: (int(exact[k]) - exact[k], k))[:left]:
-        out[k] += 1
-    return out
-
-
 class Fluid:
     """The slots, from below and above, at which sources that share every slot by weight end their blocks."""
 
@@ -93,32 +85,19 @@ def schedule(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int
         yield i, k, slot, release, deadline
 
 
-def one_period(shares: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks where sources have as many blocks as their weights."""
-    slots: dict[str, list[int]] = {key: [] for key in shares}
-    keys, sizes = list(shares), list(shares.values())
-    for i, _, slot, _, _ in schedule(sizes, sizes):
-        slots[keys[i]].append(slot)
-    return slots
-
-
 def plan(spark: SparkSession, rows_of: dict[str, int], weights: dict[str, float], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The schedule as a table with _PLAN's columns; base_row is the place of a block's first row in the mixture."""
-    path, piece, row = scratch_path(spark, "mix-slots"), [], 0
+    path, piece, row, pieces = scratch_path(spark, "mix-slots"), [], 0, 0
     keys = sorted(rows_of)
-
-    def write() -> None:
-        spark.createDataFrame(piece, _PLAN).write.mode("append").parquet(path)
-        piece.clear()
-
+    spelled = [json.dumps(key) for key in keys]
     for i, k, slot, release, deadline in schedule([-(-rows_of[key] // block_rows) for key in keys], [weights[key] for key in keys]):
-        piece.append((keys[i], k, slot, release, deadline, row))
+        piece.append(f'{{"key":{spelled[i]},"mix_block":{k},"mix_slot":{slot},"mix_release":{release},"mix_deadline":{deadline},"base_row":{row}}}')
         row += min(block_rows, rows_of[keys[i]] - k * block_rows)
         if len(piece) == PIECE:
-            write()
-    if piece or not row:
-        write()
-    return spark.read.schema(_PLAN).parquet(path)
+            write_lines(spark, f"{path}/piece-{pieces:06}.json", piece)
+            piece, pieces = [], pieces + 1
+    write_lines(spark, f"{path}/piece-{pieces:06}.json", piece)
+    return spark.read.schema(_PLAN).json(path)
 
 
 def tempered(rows_of: dict[str, int], power: float = 0.5) -> dict[str, float]:
@@ -130,14 +109,17 @@ def _source_key(column: str):
     return F.when(F.col(column).isNull(), "").otherwise(F.concat(F.lit("="), F.col(column).cast("string")))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS,
-        power: float = 0.5) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int | None = None, power: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, mix_block, mix_slot, mix_release, mix_deadline, mix_position, LOCATOR."""
-    spark = docs.sparkSession
-    rows = docs if FILE in docs.columns else located(docs)
+    return mix_located(located(docs, "doc_id", "source"), weights, block_rows, power)
+
+
+def mix_located(rows: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int | None = None, power: float = 0.5) -> DataFrame:
+    spark = rows.sparkSession
     rows = rows.select("doc_id", "source", *LOCATOR, _source_key("source").alias("key"), F.xxhash64(F.lit(7), "doc_id").alias("h"))
     sizes = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "mix-sources")
     rows_of = {r["key"]: r["n"] for r in sizes.toLocalIterator()}
+    block_rows = block_rows or max(BLOCK_ROWS, -(-sum(rows_of.values()) // MAX_BLOCKS))
     wanted = tempered(rows_of, power)
     if weights is not None:
         given = {"" if k is None else f"={k}": w for k, w in weights.items() if w and w > 0}
@@ -162,7 +144,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_r
 
 def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, **options) -> DataFrame:
     """``docs`` with mix_block, mix_slot and mix_position; sort by mix_position to write the mixture in order."""
-    rows = located(docs)
-    order = mix(rows, weights, **options).select(*LOCATOR, "mix_block", "mix_slot", "mix_position")
-    extra = ["mix_block", "mix_slot", "mix_position"]
-    return rows.drop(*extra).join(order, list(LOCATOR)).select(*[c for c in docs.columns if c not in extra], *extra)
+    rows = located(docs, "doc_id", "source", whole=True)
+    extra = ["mix_block", "mix_slot", "mix_position"]  # columns of these names give way
+    order = mix_located(rows.drop(WHOLE), weights, **options).select(*LOCATOR, *extra)
+    return rows.select(WHOLE, *LOCATOR).join(order, list(LOCATOR)).select(*kept_columns(docs, *extra), *extra)
