@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,6 +20,8 @@ PY_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER, strict=True)}
 #: Columns that say where a row lies: a hash of its file's path, and its place in that file.
 FILE, ROW = "__file", "__row"
 LOCATOR = (FILE, ROW)
+#: All columns of a located row.
+WHOLE = "__whole"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where it is unset, as in tests, a folder of this machine is made and set.
+    Only where it is unset and everything runs in this process, as in tests, a folder of this machine is made and set.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sluiceway-"))
         where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
@@ -62,22 +65,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def located(df: DataFrame, name: str = "rows") -> DataFrame:
-    """``df`` with LOCATOR columns, the same at every evaluation.
+def write_lines(spark: SparkSession, path: str, lines: list[str]) -> None:
+    """Write a text file that the driver has made, by way of Spark's own file systems."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray("\n".join(lines) + "\n", "utf-8"))
+    finally:
+        out.close()
+
+
+def located(df: DataFrame, *columns: str, whole: bool = False) -> DataFrame:
+    """The named columns of ``df`` with LOCATOR columns, the same at every evaluation; no other column can clash with them.
 
     A frame read from files uses the reader's own file path and row index; any
-    other frame is stored first, so that it is read from files as well.
+    other frame is stored first, so that it is read from files as well. With
+    ``whole``, a struct WHOLE holds all columns of ``df``, whatever their names.
     """
     def add(x: DataFrame) -> DataFrame:
-        meta = F.col("_metadata")
-        return x.select(
-            "*", F.xxhash64(meta["file_path"]).alias(FILE), meta["row_index"].cast("long").alias(ROW)
-        )
+        meta = x.metadataColumn("_metadata")
+        more = [F.struct("*").alias(WHOLE)] if whole else []
+        return x.select(*[F.col(c) for c in columns], *more, F.xxhash64(meta["file_path"]).alias(FILE), meta["row_index"].cast("long").alias(ROW))
 
     try:
         return add(df)
     except AnalysisException:
-        return add(stored(df, name))
+        return add(stored(df, "rows"))
+
+
+def kept_columns(docs: DataFrame, *own: str) -> list[Column]:
+    """The columns of ``docs`` out of WHOLE, but those that a result replaces."""
+    return [F.col(WHOLE).getField(c).alias(c) for c in docs.columns if c not in own]
 
 
 def words(text: Column) -> Column:
@@ -86,11 +104,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered, NOT_WORD), "")
 
 
-def null_last_key(column: str) -> tuple[Column, Column]:
-    """Sort keys that put nulls after every value."""
-    return F.col(column).isNull(), F.col(column)
-
-
 def first_row(*columns: str) -> Column:
     """Struct whose minimum is the row with the smallest values, nulls last."""
     keys: list[Column] = []

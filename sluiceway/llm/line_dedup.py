@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import LOCATOR, first_row, located, stored
+from sluiceway.llm.common import LOCATOR, WHOLE, first_row, located, stored
 
 SIZE = 3
 
@@ -56,15 +56,14 @@ def covered_lines(rows: DataFrame, size: int = SIZE) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """``docs`` with text cleaned, and n_lines (not blank) and n_removed."""
-    rows = located(docs)
+    rows = located(docs, "doc_id", "text", whole=True)
     lines = _lines(F.col("text"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     cleaned = F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     n_lines = F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    joined = rows.join(covered_lines(rows.select("doc_id", "text", *LOCATOR), size), list(LOCATOR), "left")
-    return joined.select(
-        *[cleaned.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
-        n_lines.cast("long").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
-    )
+    joined = rows.join(covered_lines(rows.drop(WHOLE), size), list(LOCATOR), "left")
+    own = ("n_lines", "n_removed")  # columns of these names give way
+    kept = [cleaned.alias("text") if c == "text" else F.col(WHOLE).getField(c).alias(c) for c in docs.columns if c not in own]
+    n_removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))
+    return joined.select(*kept, n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.llm import spans as sp
-from sluiceway.llm.common import FILE, LOCATOR, located, stored
+from sluiceway.llm.common import LOCATOR, WHOLE, located, stored
 
 # The base patterns. A match can only begin where a run begins or the last match ended, which keeps scans linear.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -35,8 +35,8 @@ OCTET = "^0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
 TERM, NOT_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SHORTEST = 3  # characters of a term
 DISCLOSED, TOTAL = 0.7, 0.95
-LIMIT = 1.96  # standard deviations to the upper limit of a count: 97.5 % one-sided
 BROADCAST_ROWS = 300_000
+LIMIT = 1.96  # standard deviations to the upper limit of a count: 97.5 % one-sided
 _ADDED = "array<struct<s: int, o: int, e: int, kind: string, by: string>>"
 
 
@@ -82,9 +82,9 @@ def is_term(word: Column) -> Column:
 
 
 def held_terms(rows: DataFrame, text: str) -> DataFrame:
-    """(id, term) for the terms of each row; a term repeats where its spelling differs."""
-    each = rows.select("id", F.explode(F.array_distinct(F.split(text, NOT_TERM))).alias("word"))
-    return each.where(is_term(F.col("word"))).select("id", F.lower("word").alias("term"))
+    """(id, term) for the terms of each row, each once."""
+    each = rows.select("id", F.explode(F.array_distinct(F.split(F.lower(text), NOT_TERM))).alias("term"))
+    return each.where(is_term(F.col("term")))
 
 
 def upper_limit(n: Column) -> Column:
@@ -120,7 +120,11 @@ def revealing(rows: DataFrame, named: DataFrame, holds: DataFrame, n: int, discl
 
 def find(docs: DataFrame, disclosed: float = DISCLOSED) -> DataFrame:
     """One row per row of ``docs``: doc_id, LOCATOR, base and added spans as arrays of struct<s, o, e, kind[, by]>."""
-    rows = docs if FILE in docs.columns else located(docs.select("doc_id", "text"))
+    return found_in(located(docs, "doc_id", "text"), disclosed)
+
+
+def found_in(rows: DataFrame, disclosed: float = DISCLOSED) -> DataFrame:
+    """``find`` of located rows."""
     rows = rows.select("doc_id", *LOCATOR, F.coalesce("text", F.lit("")).alias("text"))
     kinds = base_spans(F.col("text"))
 
@@ -161,10 +165,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with base spans replaced by their kind, and revealing terms removed or generalised."""
-    rows = located(docs)
-    found = find(rows, **options)
+    rows = located(docs, "doc_id", "text", whole=True)
+    found = found_in(rows.drop(WHOLE), **options)
     base = F.transform("base", lambda m: F.struct(m["s"].alias("s"), m["o"].alias("o"), m["e"].alias("e"), m["kind"].alias("kind"), F.concat(F.lit("["), F.upper(m["kind"]), F.lit("]")).alias("by")))
     spans = found.where((F.size("base") > 0) | (F.size("added") > 0)).select(*LOCATOR, F.array_sort(F.concat(base, "added")).alias("__spans"))
-    joined = rows.join(spans, list(LOCATOR), "left")
+    joined = rows.select("text", WHOLE, *LOCATOR).join(spans, list(LOCATOR), "left")
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(sp.replaced(F.col("text"), F.col("__spans")))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return joined.select(*[text.alias("text") if c == "text" else F.col(WHOLE).getField(c).alias(c) for c in docs.columns])

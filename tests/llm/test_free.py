@@ -1,6 +1,7 @@
 """The other operators: against brute force, or by held-out accuracy."""
 
 import random
+import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -57,6 +58,42 @@ def test_language_id(spark, edge, none):
     assert langid.predict(none, model).count() == 0
 
 
+def test_language_counts_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 5))) for _ in range(9)) + " 12 A-b", lang) for i in range(30) for lang in ("x", "y")]
+    rows += [(0, rows[0][1], "x"), (99, None, "x"), (98, "aa", None), (97, "", "z")]  # a repeated row counts once
+    model = langid.train(spark.createDataFrame(rows, "doc_id int, text string, lang string"))
+    assert model.languages == ["x", "y", "z"]
+    seen = {n: defaultdict(lambda: [0, 0, 0]) for n in (0, *langid.LENGTHS)}
+    for _, text, lang in set(rows):
+        if text is None or lang is None:
+            continue
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            for n in seen:
+                for g in [w] if n == 0 else langid.grams(w, n):
+                    seen[n][g]["xyz".index(lang)] += 1
+    for n, (names, values) in model.tables.items():
+        k = np.array([seen[n][g] for g in names], dtype=float)
+        assert sorted(names) == sorted(seen[n])
+        logs = np.log((k + 0.5) / (k.sum(axis=0) + 0.5 * len(k)))
+        assert np.allclose(values, logs - logs.mean(axis=1, keepdims=True))
+    assert np.allclose(np.diff(model.prior), np.log([30 / 31, 1 / 30]))
+
+
+def test_rare_and_mixed_languages(spark):
+    rng = random.Random(8)
+    stems = {"aa": "kilomno", "bb": "pqrstue", "zz": "vwxyzgh"}
+    make = lambda lang, n=20: " ".join("".join(rng.choice(stems[lang]) for _ in range(rng.randint(3, 8))) for _ in range(n))
+    rows = [(i, make(lang), lang) for i in range(1500) for lang in ("aa", "bb")] + [(9999 + i, make("zz"), "zz") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    _, sample = langid.stratified_sample(docs, 300, 50)
+    sizes = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert sizes["zz"] == 3 and all(60 <= sizes[x] <= 150 for x in ("aa", "bb"))
+    fresh = [(0, make("zz"), "zz"), (1, make("aa", 15) + " " + make("bb", 5), "aa"), (2, make("bb", 1), "bb"), (2, make("aa", 30_000), "aa"), (None, make("zz", 3), "zz")]
+    got = langid.predict(spark.createDataFrame(fresh, "doc_id int, text string, want string"), langid.train(docs, 300)).collect()
+    assert all(r["lang_pred"] == r["want"] and 0.3 < r["score"] <= 1 for r in got)
+
+
 def test_back_off_many_at_a_time():
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abcdé🙂"), rng.integers(1, 8))) for _ in range(400)]
@@ -64,7 +101,8 @@ def test_back_off_many_at_a_time():
     tables = {0: {w: vec() for w in words[:50]}}
     for n in langid.LENGTHS:
         tables[n] = {g: vec() for g in sorted({g for w in words for g in langid.grams(w, n)}) if rng.random() < 0.2}
-    rows = langid.WordRows(langid.Model(["x", "y", "z"], np.zeros(3), tables), size=100)
+    packed = {n: (list(t), np.array(list(t.values())).reshape(-1, 3)) for n, t in tables.items()}
+    rows = langid.WordRows(langid.Model(["x", "y", "z"], np.zeros(3), packed), size=100)
 
     def brute(w):
         if w in tables[0]:
@@ -104,6 +142,40 @@ def test_toxicity(spark, edge, none):
     assert toxicity.score(none, model).count() == 0
 
 
+def test_toxicity_lexicon_and_scores_against_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = [f"plain{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
+    rows = []
+    for i in range(400):
+        ws = rng.choices(vocabulary, k=15) + (["ghastly", "gh4stly"] if i % 4 == 0 else [])
+        rows.append((i, " ".join(ws), int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id int, text string, toxic int")  # repeated rows count once
+    model = toxicity.train(docs)
+    pos, neg = Counter(), Counter()
+    for _, text, toxic in rows:
+        (pos if toxic else neg).update(toxicity.entries_of(set(toxicity.WORD.findall(text))))
+    want = {}
+    for entry, p in pos.items():
+        q, share = neg[entry], (p + neg[entry]) / 400
+        z = (p / 100 - q / 300) / max(share * (1 - share) * (1 / 100 + 1 / 300), 1e-12) ** 0.5
+        odds = np.log((p + 0.5) / 101) - np.log((q + 0.5) / 301)
+        if p >= 4 and z >= 4 and odds > 0.7:
+            want[entry] = odds
+    assert set(model.lexicon) == set(want) and "ghastly" in want and all(abs(model.lexicon[k] - v) < 1e-9 for k, v in want.items())
+    texts = [None, "", "GHASTLY!!! you", "plainaa " * 30_000, rows[0][1], rows[0][1]]
+    got = toxicity.score(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, predicted string"), model).orderBy("doc_id").collect()
+    scored = toxicity.Scored(model.lexicon)
+    assert np.allclose([r["score"] for r in got], [model.calibrated(np.array([toxicity.features(t, scored)]))[0] for t in texts])
+    assert got[0]["score"] == got[1]["score"] and got[4]["score"] == got[5]["score"] and all(r["predicted"] == int(r["score"] >= 0.5) for r in got)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i // 50, f"text {i // 50}") for i in range(4000)], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id int, toxic int")
+    assert toxicity.labelled(docs, labels).count() == 80  # copies of a row are learned from once
+    assert 5 <= toxicity.labelled(docs, labels, 20).count() <= 40
+
+
 def test_boosting_and_calibration():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))

@@ -1,5 +1,7 @@
 """The pipeline against its stages' brute-force versions, and the queries' registration."""
 
+import re
+
 import __spark_entry__
 import corpus_pipeline
 from test_free import brute_near
@@ -32,6 +34,27 @@ def test_pipeline(spark, sf_dir):
     assert {r["doc_id"] for r in out} == want and sorted(r["mix_position"] for r in out) == list(range(len(want)))
 
 
+def tables(spark, folder, docs):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    rows = docs.collect()
+    labels = [(r["doc_id"], 1, 0) for r in rows[:3]] + [(None, 1, 1), (None, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    items = [(1, rows[3]["text"] if rows else "x"), (2, None), (None, "a b c"), (3, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_with_nulls_and_clashing_names(spark, edge, none, tmp_path):
+    got = corpus_pipeline.run(spark, tables(spark, tmp_path / "edge", edge))
+    assert [c for c in got.columns if c not in ("mix_block", "mix_slot", "mix_position")] == [c for c in edge.columns if c != "mix_slot"]
+    rows = got.collect()
+    texts = [re.sub(r"[\x20\x09-\x0d]+", " ", r["text"] or "") for r in rows]
+    assert len(set(texts)) == len(texts) and sorted(r["mix_position"] for r in rows) == list(range(len(rows)))
+    gone = edge.collect()[3]["text"]  # a test item, and so are its copies
+    assert gone not in texts and "a b c" not in texts and "" in texts and len(rows) >= 8
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path / "none", none)).count() == 0
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and names["pipeline"] is corpus_pipeline.run
