@@ -35,7 +35,6 @@ OCTET = "^0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
 TERM, NOT_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SHORTEST = 3  # characters of a term
 DISCLOSED, TOTAL = 0.7, 0.95
-BROADCAST_ROWS = 300_000
 LIMIT = 1.96  # standard deviations to the upper limit of a count: 97.5 % one-sided
 _ADDED = "array<struct<s: int, o: int, e: int, kind: string, by: string>>"
 
@@ -111,9 +110,8 @@ def revealing(rows: DataFrame, named: DataFrame, holds: DataFrame, n: int, discl
         F.count(F.lit(1)).alias("n_te"), F.first("n_near").alias("n_near"), F.first("n_e").alias("n_e"))
     told = lambda n_t: bits(F.col("n_te"), n_t, F.col("n_e")) / F.log2(total / F.col("n_e"))
     possible = stored(pairs.where(told(upper_limit(F.col("n_near"))) >= disclosed), "pii-terms")
-    terms = stored(possible.select("term").distinct(), "pii-vocabulary")
-    terms = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
-    n_t = held_terms(rows, "text").join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_all"))
+    # each distinct text once, its terms once: counts are combined within each task before they are shuffled
+    n_t = held_terms(rows.dropDuplicates(["id"]), "text").groupBy("term").agg(F.count(F.lit(1)).alias("n_all"))
     judged = possible.join(n_t, "term").withColumn("n_t", F.greatest("n_all", "n_near"))
     return judged.where(told(upper_limit(F.col("n_t"))) >= disclosed).select("term", "entity", told(F.col("n_t")).alias("share"))
 
@@ -145,7 +143,9 @@ def found_in(rows: DataFrame, disclosed: float = DISCLOSED) -> DataFrame:
     told = revealing(rows.select(F.xxhash64("text").alias("id"), "text"), named, holds, n, disclosed)
     told = holds.join(told, "term").join(named, ["id", "entity"]).groupBy("id", "term").agg(F.max("share").alias("share"))
     told = told.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("share") >= TOTAL))).alias("told"))
-    word = near.join(told, "id").select(*LOCATOR, "told", F.explode(sp.matches(F.col("rest"), TERM)).alias("t"))
+    # few texts, much work on each: dealt out evenly rather than by their bytes
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    word = near.join(told, "id").repartition(parts, *LOCATOR).select(*LOCATOR, "told", F.explode(sp.matches(F.col("rest"), TERM)).alias("t"))
     word = word.where(is_term(F.col("t.x"))).select(*LOCATOR, "t.s", "t.e", "t.x", F.col("told")[F.lower("t.x")].alias("whole")).where("whole is not null")
     by = F.when(F.col("whole"), "").when(F.col("x").rlike(r"^[A-Z]"), "[NAME]").otherwise("[TERM]")
     added = word.select(*LOCATOR, F.struct("s", F.lit(4).alias("o"), "e", F.lit("term").alias("kind"), by.alias("by")).alias("v"))
