@@ -2,6 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; its result is written as Parquet
 and read again as the next stage's documents. All but the last return the columns of documents.
+
+Defined results, of every stage but where said otherwise: rows are judged one by one, so null and
+repeated ids are kept or dropped as rows; null text is the empty text; further columns are carried
+whatever their names; an empty table gives an empty table. Toxicity: without labels of both kinds
+every text has the share of label 1 as its score, and goes if that is 0.5 or more. Exact and near
+dedup: the row with the smallest doc_id stays, null ids come last, and of equal ids the row that
+comes first in its file; a text without words has no near copies. Decontamination: texts without
+words stay; an empty benchmark drops nothing. Mixing: a null source is a source; mix_block, mix_slot
+and mix_position take the place of columns of these names.
 """
 
 from __future__ import annotations
