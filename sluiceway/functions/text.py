@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 SNIFF = 4096
 #: Magic bytes of the media kinds (fixed values): hex prefix, kind, format.
 MAGIC = (
-    ("255044462D", "document", "pdf"), ("89504E470D0A1A0A", "image", "png"), ("FFD8FF", "image", "jpeg"), ("47494638", "image", "gif"),
+    ("255044462D", "document", "pdf"), ("89504E47", "image", "png"), ("FFD8FF", "image", "jpeg"), ("47494638", "image", "gif"),
 )
 KIND = "struct<kind: string, format: string>"
 
@@ -90,18 +90,35 @@ def slice_bytes(content: Column, offset: int, size: int) -> Column:
     return F.regexp_replace(F.base64(F.substring(content, offset + 1, size)), r"[\r\n]", "")
 
 
+_CHUNK = 256
+
+
 def windows(text: Column, size: int) -> Column:
-    """array<struct<offset, next_offset, text>> of the windows of a text; null if a window can't hold a character."""
+    """array<struct<offset, next_offset, text>> of the windows of a text; null if a window can't hold a character.
+
+    The cuts are found in chunks of bounded size, so time stays in proportion to the number of windows.
+    """
     content = F.encode(text, "UTF-8")
     total = F.octet_length(text)
-    most = F.ceil(total / max(size - 3, 1)).cast("int")
+    most = F.greatest(F.ceil(total / max(size - 3, 1)).cast("int"), F.lit(1))
+    chunks = F.sequence(F.lit(1), F.ceil(most / _CHUNK).cast("int"))
 
-    def step(cuts: Column, _: Column) -> Column:
-        at = F.element_at(cuts, -1)
+    def cut(at: Column) -> Column:
         end = whole_end(content, F.least(at + size, total))
-        return F.when((at >= total) | (end <= at), cuts).otherwise(F.concat(cuts, F.array(end)))
+        return F.when((at >= total) | (end <= at), F.lit(None).cast("int")).otherwise(end)
 
-    cuts = F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), F.array(F.lit(0)), step)
+    def inner(acc: Column, _: Column) -> Column:
+        end = cut(acc["at"])
+        return F.when(end.isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["cuts"], F.array(end)).alias("cuts")))
+
+    def outer(acc: Column, _: Column) -> Column:
+        empty = F.struct(acc["at"].alias("at"), F.array().cast("array<int>").alias("cuts"))
+        part = F.aggregate(F.sequence(F.lit(1), F.lit(_CHUNK)), empty, inner)
+        done = F.element_at(F.transform(F.array(part), lambda p: F.struct(p["at"].alias("at"), F.concat(acc["parts"], F.array(p["cuts"])).alias("parts"))), 1)
+        return F.when(acc["at"] >= total, acc).otherwise(done)
+
+    start = F.struct(F.lit(0).alias("at"), F.array(F.array(F.lit(0))).alias("parts"))
+    cuts = F.aggregate(chunks, start, outer, lambda acc: F.flatten(acc["parts"]))
     starts = F.element_at(F.transform(F.array(cuts), lambda c: F.transform(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(1))), lambda a, i: F.struct(
         a.alias("offset"), F.coalesce(F.get(c, i + 1), a).alias("next_offset")))), 1)
     walked = F.transform(starts, lambda w: F.struct(
@@ -175,3 +192,26 @@ def is_block_name(text: Column) -> Column:
 
 def rfc3339(timestamp: Column) -> Column:
     return F.date_format(F.date_trunc("second", timestamp), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def strict_json(text: Column) -> Column:
+    """The VARIANT of JSON text, null if it isn't one whole value.
+
+    The parser stops after the first value, whatever follows; so the text must also read as a list's only
+    member and as a record's only field.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    field = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    one = F.size(listed.try_cast("array<variant>")) == 1
+    return F.when(one & field.isNotNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
+def parsed(text: Column) -> Column:
+    """struct<value: variant, error: string>: JSON text that can't be read is an error to be caught, and null is none."""
+    value = strict_json(text)
+    return F.struct(value.alias("value"), F.when(value.isNull() & text.isNotNull(), F.lit("not JSON")).alias("error"))
+
+
+def prompt(text: Column, before: str, after: str = "") -> Column:
+    """A prompt around a text without the white space at its ends."""
+    return F.concat(F.lit(before), F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit(after))

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluiceway.deploy import send_package
+from sluiceway.functions import pdf
 from sluiceway.functions import text as tx
 
 
@@ -16,14 +21,64 @@ class CapabilityDenied(PermissionError):
 
 def permitted(path: str, roots: list[str] | tuple[str, ...]) -> str:
     """The real path, if it exists under a granted root once links are followed on both sides."""
-    real = os.path.realpath(path)
+    local = lambda p: os.path.realpath(re.sub("^file:(//)?(?=/)", "", p))
+    real = local(path)
     for root in roots:
-        base = os.path.realpath(root)
+        base = local(root)
         if os.path.exists(real) and os.path.exists(base) and os.path.commonpath([real, base]) == base:
             return real
     raise CapabilityDenied(f"{path!r} lies under no granted root")
 
 
+def kind_of(head: bytes) -> dict:
+    """Kind and format of content by its first bytes, as ``functions.text.classify`` gives them for columns."""
+    for magic, kind, fmt in tx.MAGIC:
+        if head.startswith(bytes.fromhex(magic)):
+            return {"kind": kind, "format": fmt}
+    if head[:4] == b"RIFF" and head[8:12] == b"WEBP":
+        return {"kind": "image", "format": "webp"}
+    head = head[: tx.SNIFF]
+    try:
+        head.decode()
+    except UnicodeDecodeError as e:
+        if e.reason != "unexpected end of data" or e.start == 0:
+            return {"kind": "binary", "format": None}
+    return {"kind": "text", "format": None}
+
+
+INSPECTED = "struct<pages: int, has_text_layer: boolean>"
+
+
+def inspected(content: Column) -> Column:
+    """INSPECTED of PDF content, null for null; a document that can't be read has 0 pages."""
+    send_package(SparkSession.active())
+
+    @F.pandas_udf(INSPECTED)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([pdf.inspect(x) if x is not None else (None, None) for x in batch], columns=["pages", "has_text_layer"])
+
+    return run(content)
+
+
+def page_texts(content: Column, page: Column) -> Column:
+    """struct<text, error> of a PDF's page, counted from 0."""
+    send_package(SparkSession.active())
+
+    @F.pandas_udf("struct<text: string, error: string>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for contents, pages in batches:
+            out = []
+            for x, at in zip(contents, pages, strict=True):
+                try:
+                    out.append((pdf.page_text(x, int(at)), None) if x is not None else (None, None))
+                except ValueError as e:
+                    out.append((None, str(e)))
+            yield pd.DataFrame(out, columns=["text", "error"])
+
+    return run(content, page)
+
+
 def open_files(spark: SparkSession, paths: list[str], roots: list[str] | tuple[str, ...]) -> DataFrame:
     """(handle, path, length, kind, content); handles count from 0 in the order of ``paths``.
 
@@ -36,55 +91,14 @@ def open_files(spark: SparkSession, paths: list[str], roots: list[str] | tuple[s
     read = read.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "content")
     joined = handles.join(read, "path", "left").withColumn("content", F.coalesce("content", F.lit(b"")))
     kind = tx.classify(F.col("content"))
-    pages = F.when(kind["kind"] == "document", page_count(F.col("content")))
+    joined = joined.withColumn("found", kind).withColumn("pdf", inspected(F.when(F.col("found.kind") == "document", F.col("content"))))
+    unread = F.coalesce(F.col("pdf.pages") == 0, F.lit(False))
     described = F.struct(
-        F.when((kind["kind"] == "document") & (F.coalesce(pages, F.lit(0)) == 0), "binary").otherwise(kind["kind"]).alias("kind"),
-        kind["format"].alias("format"), pages.alias("pages"),
-        F.when(kind["kind"] == "document", has_text_layer(F.col("content"))).alias("has_text_layer"))
+        F.when(unread, "binary").otherwise(F.col("found.kind")).alias("kind"), F.when(~unread, F.col("found.format")).alias("format"),
+        F.when(~unread, F.col("pdf.pages")).alias("pages"), F.when(~unread, F.col("pdf.has_text_layer")).alias("has_text_layer"))
     return joined.select("handle", "path", F.length("content").cast("long").alias("length"), described.alias("kind"), "content")
 
 
-def page_count(content):
-    """Pages of a PDF by its page objects."""
-    latin = F.decode(content, "ISO-8859-1")
-    return F.size(F.regexp_extract_all(latin, F.lit(r"/Type\s*/Page(?![A-Za-z])"), F.lit(0)))
-
-
-def has_text_layer(content):
-    """Whether a PDF shows text by operators that are readable without unpacking its streams, or names a font."""
-    return F.decode(content, "ISO-8859-1").rlike(r"/Font\b")
-
-
-def page_text(content: bytes, page: int) -> str:
-    """Text of a page whose content streams are plain or deflated; pages count from 0."""
-    import re
-    import zlib
-
-    streams = []
-    for m in re.finditer(rb"<<(?P<d>[^<>]*(?:<<[^<>]*>>[^<>]*)*)>>\s*stream\r?\n(?P<s>.*?)\r?\nendstream", content, re.S):
-        raw = m["s"]
-        if b"/FlateDecode" in m["d"]:
-            try:
-                raw = zlib.decompress(raw)
-            except zlib.error:
-                continue
-        if re.search(rb"\bBT\b", raw):
-            streams.append(raw)
-    pages = len(re.findall(rb"/Type\s*/Page(?![A-Za-z])", content))
-    if not 0 <= page < pages:
-        raise ValueError(f"page {page} is out of range: the document has {pages}")
-    if len(streams) != pages:
-        raise ValueError("unsupported: the pages' text can't be told apart")
-    shown = re.findall(rb"\((?P<t>(?:\\.|[^\\()])*)\)\s*(?:Tj|'|\")|\[(?P<a>(?:\((?:\\.|[^\\()])*\)|[^\]])*)\]\s*TJ", streams[page])
-    parts = [t if t else b"".join(re.findall(rb"\(((?:\\.|[^\\()])*)\)", a)) for t, a in shown]
-    return "\n".join(re.sub(rb"\\([()\\])", rb"\1", p).decode("latin-1") for p in parts)
-
-
-def page_image(content: bytes, page: int) -> bytes:
-    """Rendering needs a native library that isn't part of this build."""
-    raise NotImplementedError("unsupported: pages can't be rendered")
-
-
 def windows(files: DataFrame, size: int = 65_536) -> DataFrame:
     """(handle, offset, next_offset, text) of the windows of text files, without loss."""
     walked = files.select("handle", F.explode(tx.windows(F.col("content").cast("string"), size)).alias("w"))

@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from sluiceway.functions import pdf
 from sluiceway.functions import text as tx
 from sluiceway.functions.schema import violations, violations_column
 from sluiceway.operators.infer import Http, Registry, Stub, Unsupported, infer, read_stream
@@ -94,7 +95,7 @@ def test_capabilities(tmp_path):
             fs.permitted(str(bad), [str(root)])
 
 
-PDF = b"%PDF-1.4\n1 0 obj<</Type /Page /Font 1>>endobj\n2 0 obj<</Length 9>>\nstream\nBT (Hello \\(you\\)) Tj ET\nendstream\nendobj"
+PDF = b"%PDF-1.4\n1 0 obj<</Type /Page /Contents 2 0 R>>endobj\n2 0 obj<</Length 9>>\nstream\nBT (Hello \\(you\\)) Tj ET\nendstream\nendobj"
 
 
 def test_files(spark, tmp_path):
@@ -105,11 +106,20 @@ def test_files(spark, tmp_path):
     rows = opened.orderBy("handle").collect()
     assert [(r["handle"], r["length"], r["kind"]["kind"], r["kind"]["pages"]) for r in rows] == [(0, 0, "text", None), (1, 6, "text", None), (2, len(PDF), "document", 1)]
     assert "".join(r["text"] for r in fs.windows(opened.where("handle = 1"), 3).orderBy("offset").collect()) == "héllo"
-    assert fs.page_text(PDF, 0) == "Hello (you)"
+    assert pdf.page_text(PDF, 0) == "Hello (you)" and pdf.inspect(PDF) == (1, True)
     with pytest.raises(ValueError):
-        fs.page_text(PDF, 1)
-    with pytest.raises(NotImplementedError):
-        fs.page_image(PDF, 0)
+        pdf.page_text(PDF, 1)
+    for deflate in (True, False):
+        made = pdf.make_pdf(["one", "", "thr\\e(e)"], deflate)
+        assert pdf.inspect(made) == (3, True) and pdf.page_text(made, 2) == "thr\\e(e)"
+        with pytest.raises(ValueError, match="no text"):
+            pdf.page_text(made, 1)  # a page that shows nothing isn't an empty text
+    assert pdf.inspect(pdf.make_pdf([""])) == (1, False) and pdf.inspect(b"%PDF-1.4 cut") == (0, False)
+    texts = opened.select(fs.page_texts(F.when(F.col("kind.kind") == "document", F.col("content")), F.lit(0)).alias("t")).collect()
+    assert [r["t"] and r["t"]["text"] for r in texts].count("Hello (you)") == 1
+    for head in (b"", b"%PDF-1", b"\x89PNG\xff", b"RIFFxxxxWEBP", b"\xff", "é".encode()[:1], b"a" + "é".encode()[:1]):
+        kind = spark.createDataFrame([(head,)], "b binary").select(tx.classify(F.col("b")).alias("k")).first()["k"]
+        assert fs.kind_of(head) == kind.asDict()
 
 
 def test_inference(spark):
@@ -129,5 +139,7 @@ def test_inference(spark):
     registry = Registry()
     registry.register("Mine", lambda m: Stub(m))
     assert registry.resolve("MINE", "x") == Stub("x")
-    with pytest.raises(Unsupported, match="stub"):
+    with pytest.raises(Unsupported, match="native"):
         registry.resolve("llamacpp", "x")
+    with pytest.raises(Unsupported, match="stub"):
+        registry.resolve("none", "x")
