@@ -4,26 +4,31 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import re
 import sys
 
 from sluiceway.functions.schema import violations
 from sluiceway.plans.analyze import analyze
-from sluiceway.plans.blocks import sql_block
 from sluiceway.plans.speclang import SpecError, parse_spec
 from sluiceway.sources import bundle
-from sluiceway.sources.catalog import Catalog, CatalogError
+from sluiceway.sources.catalog import Catalog, CatalogError, block_of
 
 _BLOCK = re.compile(r"[A-Za-z][A-Za-z0-9_-]*\Z")
-_STUB = {"sql": "-- signature: json -> json\ninput\n", "python": '"""signature: json -> json"""\n\n\ndef run(value, host):\n    return value\n'}
+_STUB = {"sql": "-- signature: json -> json\ninput\n", "python": '"""A block.\n\nsignature: json -> json\n"""\n\n\ndef run(value, host):\n    return value\n'}
 
 
 def blocks_of(spec, catalog: Catalog) -> dict[str, object]:
-    """The catalog's SQL blocks that a spec names."""
+    """The blocks that a spec names: files by their paths, catalogued ones by name@version."""
     out = {}
     for node in spec.nodes:
-        entry = catalog.show(catalog.resolve(node.block, durable=True))
-        out[node.block] = sql_block(catalog.blob(entry).decode())
+        if node.block.endswith((".sql", ".py")):
+            with open(node.block, "rb") as f:
+                out[node.block] = block_of(f.read(), "sql" if node.block.endswith(".sql") else "python", node.block)
+        elif os.path.isfile(node.block):
+            raise bundle.BundleError(f"{node.block} can't be run: bundles are for keeping, name the blocks themselves")
+        else:
+            out[node.block] = catalog.block(catalog.resolve(node.block, durable=True))
     return out
 
 
@@ -83,15 +88,17 @@ def run(args) -> int:
                 print(key, entry["kind"], entry["signature"], entry["created_at"])
         return 0
     if args.verb == "block":
-        if not _BLOCK.match(args.name):
+        if not _BLOCK.match(os.path.basename(args.name)):
             raise ValueError(f"{args.name!r} isn't a block name")
         with open(f"{args.name}.{'sql' if args.lang == 'sql' else 'py'}", "x", encoding="utf-8") as f:
             f.write(_STUB[args.lang])
         return 0
     if args.verb == "models":
-        from sluiceway.operators.infer import list_models
+        from pyspark.sql import SparkSession
+
+        from sluiceway.operators.infer import list_models, models
 
-        print(*list_models(), sep="\n")
+        models(SparkSession.builder.getOrCreate(), list_models()).show(1000, truncate=False)
         return 0
     spec = parse_spec(text_of(args.spec)) if hasattr(args, "spec") else None
     if args.verb == "specs":

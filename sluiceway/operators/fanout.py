@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.operators.ledger import Ledger, pending
-from sluiceway.plans.blocks import RESULT, PyBlock
+from sluiceway.plans.blocks import ADDED, CODE, EVENT, EVENTS, MESSAGE, OUTPUT, TOKENS_IN, TOKENS_OUT, PyBlock
 
 
 class FanoutFailed(Exception):
@@ -14,38 +14,38 @@ class FanoutFailed(Exception):
 
 
 def run_items(items: DataFrame, block, host=None, partitions: int | None = None) -> DataFrame:
-    """``items`` with output (JSON text) and error: bad input, the block's failure or bad output end that item only."""
-    fits = block.signature.input.accepts_column(F.col("input"))
-    rows = items.withColumn("__in", F.when(fits, F.col("input")))
-    if isinstance(block, PyBlock):
-        if partitions:
-            rows = rows.repartition(partitions)  # opaque work is spread evenly
-        rows = rows.withColumn("__raw", block.column(F.col("__in"), host))
-        rows = rows.withColumn("__out", F.struct(F.try_parse_json("__raw.output").alias("output"), F.col("__raw.code").alias("code"), F.col("__raw.message").alias("message")).cast(RESULT)).drop("__raw")
-    else:
-        rows = rows.withColumn("__out", F.expr(block.apply("__in")))
-    output = F.col("__out.output")
+    """``items`` with output (JSON text), error, tokens_in, tokens_out and events.
+
+    Bad input, the block's failure or bad output end that item only.
+    """
+    if isinstance(block, PyBlock) and partitions:
+        items = items.repartition(partitions)  # opaque work is spread evenly
+    rows = items.withColumns({"__given": F.col("input"), "__fits": block.signature.input.accepts_column(F.col("input"))})
+    rows = block.run(rows.withColumn("input", F.when(F.col("__fits"), F.col("input"))), host)
     error = (
-        F.when(~fits, F.lit(f"input is not {block.signature.input.describe()}"))
-        .when(F.col("__out.code").isNotNull(), F.col("__out.message"))
-        .when(~block.signature.output.accepts_column(output), F.lit(f"output is not {block.signature.output.describe()}"))
+        F.when(~F.col("__fits"), F.lit(f"input is not {block.signature.input.describe()}"))
+        .when(F.col(CODE).isNotNull(), F.col(MESSAGE))
+        .when(~block.signature.output.accepts_column(F.col(OUTPUT)), F.lit(f"output is not {block.signature.output.describe()}"))
     )
-    return rows.withColumn("error", error).withColumn("output", F.when(F.col("error").isNull(), F.to_json(output))).drop("__in", "__out")
-
-
-def run_fanout(ledger: Ledger, job_id: str, node: str, items: DataFrame, digest: str, block, host=None, partitions: int | None = None) -> dict:
-    """Run the items that haven't concluded, record them, and return the collection record."""
-    before = ledger.pin(job_id, node, digest, items.count())
+    used = TOKENS_IN in rows.columns
+    more = {
+        "tokens_in": F.col(TOKENS_IN) if used else F.lit(0).cast("long"), "tokens_out": F.col(TOKENS_OUT) if used else F.lit(0).cast("long"),
+        "events": F.col(EVENTS) if used else F.array().cast(f"array<{EVENT}>"),
+    }
+    rows = rows.withColumn("error", error).withColumns({"output": F.when(F.col("error").isNull(), F.to_json(OUTPUT)), "input": F.col("__given"), **more})
+    return rows.drop("__given", "__fits", *ADDED)
+
+
+def run_fanout(ledger: Ledger, job_id: str, node: str, items: DataFrame, digest: str, block, host=None, partitions: int | None = None) -> tuple[dict, dict]:
+    """Run the items that haven't concluded and record them; the collection record, and the usage of the items run."""
+    before = ledger.pin(job_id, node, digest)
     if before is not None and before != digest:
         raise FanoutFailed(f"node {node!r}: its manifest changed since the job began; put it back or start a new job")
-    done = ledger.concluded(job_id, node).select("item_index")
-    left = pending(items, done, "item_index")
-    ran = run_items(left, block, host, partitions)
-    ledger.record(ran.select(F.lit(job_id).alias("job_id"), F.lit(node).alias("node"), "item_index", "output", "error"))
-    rows = ledger.concluded(job_id, node)
-    n = rows.agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("bad"),
-                 F.min_by("error", F.when(F.col("error").isNotNull(), F.col("item_index"))).alias("first")).first()
-    if not n["ok"]:
-        raise FanoutFailed(f"node {node!r}: every item failed; the first: {n['first']}")
+    left = pending(items, ledger.concluded(job_id, node), "item_index")
+    ledger.record(job_id, node, run_items(left, block, host, partitions))
+    n = ledger.summary(job_id, node)
+    if not n["succeeded"]:
+        raise FanoutFailed(f"node {node!r}: every item failed; the first: {n['first_error']}")
     results, failures = ledger.project(job_id, node)
-    return {"results_path": results, "failures_path": failures, "succeeded": n["ok"], "failed": n["bad"]}
+    record = {"results_path": results, "failures_path": failures, "succeeded": n["succeeded"], "failed": n["failed"]}
+    return record, {"tokens_in": n["tokens_in"], "tokens_out": n["tokens_out"]}

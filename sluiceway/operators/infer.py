@@ -8,11 +8,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.deploy import send_package
-from sluiceway.functions.text import stub_reply, word_count
+from sluiceway.functions.text import reasoning_tag, stub_reply, word_count
 
 ANSWER = "struct<text: string, tokens_in: long, tokens_out: long, error: string>"
 STUB_REPLY = "a stub summary"
@@ -95,11 +95,15 @@ class Http:
             return read_stream(iter(lambda: reply.read1(8192), b""), on_token)
 
 
+def _absent(model: str):
+    raise Unsupported("embedded models need a native library, which this build is without; use another provider")
+
+
 class Registry:
-    """Backends by provider; a later registration replaces an earlier one."""
+    """Backends by provider; a later registration replaces an earlier one. Embedded models are named, but unavailable."""
 
     def __init__(self):
-        self.makers: dict[str, Callable[[str], object]] = {"stub": lambda model: Stub(model), "ollama": lambda model: Http(model)}
+        self.makers: dict[str, Callable[[str], object]] = {"stub": lambda model: Stub(model), "ollama": lambda model: Http(model), "llamacpp": _absent}
 
     def register(self, provider: str, maker: Callable[[str], object]) -> None:
         self.makers[provider.lower()] = maker
@@ -135,3 +139,8 @@ def infer(prompts: DataFrame, backend, prompt: str = "prompt", max_tokens: int =
 def list_models(url: str = "http://127.0.0.1:11434") -> list[str]:
     with urllib.request.urlopen(f"{url}/api/tags", timeout=10) as reply:
         return [m["name"] for m in json.load(reply).get("models", [])]
+
+
+def models(spark: SparkSession, names: list[str]) -> DataFrame:
+    """(name, reasoning) of models, tagged by what is known of their families."""
+    return spark.createDataFrame([(n,) for n in names], "name string").select("name", reasoning_tag(F.col("name")).alias("reasoning"))

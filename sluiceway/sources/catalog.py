@@ -15,10 +15,11 @@ import re
 import tempfile
 from datetime import UTC, datetime
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluiceway.plans.blocks import read_header
+from sluiceway.plans.blocks import check_sql, python_block, sql_block
 from sluiceway.plans.types import TypeSyntaxError
 
 VERSION = 1
@@ -32,6 +33,11 @@ class CatalogError(ValueError):
     """A catalog that can't be read, or a change that it refuses."""
 
 
+def block_of(content: bytes, kind: str, name: str):
+    """The block of a catalogued text."""
+    return sql_block(content.decode()) if kind == "sql" else python_block(content.decode(), name)
+
+
 class Catalog:
     def __init__(self, path: str):
         self.path = path
@@ -66,16 +72,18 @@ class Catalog:
             os.fsync(f.fileno())
         os.replace(temporary, path)
 
-    def add(self, name_version: str, content: bytes, kind: str = "sql") -> dict:
+    def add(self, name_version: str, content: bytes, kind: str = "sql", spark: SparkSession | None = None) -> dict:
+        """Add a block, which must compile; a SQL body is analysed where a session is given or active."""
         if not _NAME.match(name_version):
             raise CatalogError(f"{name_version!r} is not name@version")
-        if kind == "sql":
-            try:
-                signature = read_header(content.decode()).describe()
-            except (TypeSyntaxError, UnicodeDecodeError) as e:
-                raise CatalogError(f"{name_version}: {e}") from None
-        else:
-            signature = "json -> json"
+        try:
+            block = block_of(content, kind, name_version)
+            spark = spark or SparkSession.getActiveSession()
+            if kind == "sql" and spark is not None:
+                check_sql(spark, block)
+        except (TypeSyntaxError, UnicodeDecodeError, AnalysisException, ParseException) as e:
+            raise CatalogError(f"{name_version}: {str(e)[:300]}") from None
+        signature = block.signature.describe()
         digest = hashlib.sha256(content).hexdigest()
         with self.changing() as index:
             if name_version in index["entries"]:
@@ -110,6 +118,10 @@ class Catalog:
         with open(f"{self.path}/blobs/{entry['hash']}", "rb") as f:
             return f.read()
 
+    def block(self, name_version: str):
+        entry = self.show(name_version)
+        return block_of(self.blob(entry), entry["kind"], name_version)
+
     def entries(self, spark: SparkSession) -> DataFrame:
         """SCHEMA rows, ordered by key."""
         rows = [(k, *k.split("@"), e["hash"], e["kind"], e["signature"], e["created_at"]) for k, e in self.index()["entries"].items()]

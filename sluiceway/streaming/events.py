@@ -2,31 +2,58 @@
 
 from __future__ import annotations
 
+import json
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluiceway.sources import store
+
 SCHEMA = "job_id string, seq long, type string, payload string"
 
 
 class EventLog:
+    """A folder a job; the driver's events are small files, those of a node's items are written by their tasks."""
+
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.last = spark, path, 0
+
+    def _next(self) -> int:
+        self.last = max(time.time_ns(), self.last + 1)
+        return self.last
+
+    def append(self, job_id: str, *events: tuple[str, str]) -> None:
+        """Events (type, payload) of a job, numbered by time so that later appends sort later."""
+        if not events:
+            return
+        seqs = [self._next() for _ in events]
+        lines = [json.dumps({"job_id": job_id, "seq": s, "type": kind, "payload": payload}) for s, (kind, payload) in zip(seqs, events, strict=True)]
+        store.write(self.spark, f"{self.path}/{store.key(job_id)}/{seqs[0]}.json", "\n".join(lines) + "\n")
+
+    def append_rows(self, job_id: str, rows: DataFrame) -> None:
+        """Events (item_index, at, type, payload) of a node's items, after all earlier events and in the order of items."""
+        base = self._next()
+        seq = F.lit(base) + F.col("item_index") * 1000 + F.col("at")
+        out = rows.select(F.lit(job_id).alias("job_id"), seq.cast("long").alias("seq"), "type", "payload")
+        out.write.json(f"{self.path}/{store.key(job_id)}/{base}.items")
+        self.last = base + (rows.agg(F.max(F.col("item_index") * 1000 + F.col("at"))).first()[0] or 0) + 1
 
-    def append(self, job_id: str, kind: str, *payloads: str) -> None:
-        """Events of a job, numbered by time so that later appends sort later."""
-        base = time.time_ns()
-        rows = [(job_id, base + i, kind, p) for i, p in enumerate(payloads)]
-        self.spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+    def read(self, job_id: str | None = None) -> DataFrame:
+        """The whole log so far, of one job in order or of all."""
+        path = self.path if job_id is None else f"{self.path}/{store.key(job_id)}"
+        if not store.exists(self.spark, path):
+            return self.spark.createDataFrame([], SCHEMA)
+        rows = self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").json(path)
+        return rows if job_id is None else rows.orderBy("seq")
 
-    def read(self, job_id: str) -> DataFrame:
-        """The whole log of a job so far, in order."""
-        return self.spark.read.schema(SCHEMA).parquet(self.path).where(F.col("job_id") == job_id).orderBy("seq")
+    def follow(self, job_id: str | None = None) -> DataFrame:
+        """Backlog and then live events: the stream starts from the first event, so a late subscriber sees all.
 
-    def follow(self) -> DataFrame:
-        """Backlog and then live events: the stream starts from the first event, so a late subscriber sees all."""
-        return self.spark.readStream.schema(SCHEMA).parquet(self.path)
+        A subscriber that falls behind goes on from its own checkpoint and loses nothing.
+        """
+        rows = self.spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").json(self.path)
+        return rows if job_id is None else rows.where(F.col("job_id") == job_id)
 
 
 def replay(events: DataFrame, key: str, seq: str, text: str, between: str = "") -> DataFrame:
