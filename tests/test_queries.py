@@ -19,7 +19,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("part", "orders", "customer", "lineitem", "events", "documents", "pages", "labels", "conversations"):
+    for t in ("nation", "region", "part", "orders", "customer", "lineitem", "events", "documents", "pages", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = catalogue.QUERIES[name](spark, sf_dir)
     want = con.sql(catalogue.ORACLE_SQL[name])
@@ -42,7 +42,7 @@ real = importlib.util.find_spec
 importlib.util.find_spec = lambda n, *a: None if n.startswith("sluiceway.llm") or n == "corpus_pipeline" else real(n, *a)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
-assert len(e.queries()) == 38 and set(e.queries()) == set(e.oracle_sql()), len(e.queries())
+assert len(e.queries()) == 78 and set(e.queries()) == set(e.oracle_sql()), len(e.queries())
 import sluiceway.jobs, sluiceway.cli
 """
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120).stderr == ""
