@@ -57,7 +57,7 @@ class TestItems:
 def build_index(rows: DataFrame) -> DataFrame:
     """Postings (LOCATOR, term, pos) of every token of located ``rows``, stored; the posting without a term ends a row."""
     terms = F.concat(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)), F.array(F.lit(None).cast("long")))
-    return stored(rows.select(*LOCATOR, F.posexplode(terms).alias("pos", "term")), "postings")
+    return stored(rows.select(*LOCATOR, F.posexplode(terms).alias("pos", "term")), "postings", "zstd")
 
 
 def frequencies(index: DataFrame, items: TestItems) -> DataFrame:
