@@ -113,7 +113,8 @@ def run(args) -> int:
     from sluiceway.jobs import Engine
 
     spark = SparkSession.builder.getOrCreate()
-    engine = Engine(spark, args.state, blocks_of(spec, catalog) if spec else {})
+    # Spark's own folder may be another one
+    engine = Engine(spark, args.state if "://" in args.state else os.path.abspath(args.state), blocks_of(spec, catalog) if spec else {})
     if spec:
         engine.load(spec)
     if args.verb == "jobs":

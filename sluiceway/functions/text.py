@@ -93,38 +93,47 @@ def slice_bytes(content: Column, offset: int, size: int) -> Column:
 _CHUNK = 256
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def windows(text: Column, size: int) -> Column:
     """array<struct<offset, next_offset, text>> of the windows of a text; null if a window can't hold a character.
 
     The cuts are found in chunks of bounded size, so time stays in proportion to the number of windows.
     """
-    content = F.encode(text, "UTF-8")
-    total = F.octet_length(text)
-    most = F.greatest(F.ceil(total / max(size - 3, 1)).cast("int"), F.lit(1))
-    chunks = F.sequence(F.lit(1), F.ceil(most / _CHUNK).cast("int"))
-
-    def cut(at: Column) -> Column:
-        end = whole_end(content, F.least(at + size, total))
-        return F.when((at >= total) | (end <= at), F.lit(None).cast("int")).otherwise(end)
-
-    def inner(acc: Column, _: Column) -> Column:
-        end = cut(acc["at"])
-        return F.when(end.isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["cuts"], F.array(end)).alias("cuts")))
-
-    def outer(acc: Column, _: Column) -> Column:
-        empty = F.struct(acc["at"].alias("at"), F.array().cast("array<int>").alias("cuts"))
-        part = F.aggregate(F.sequence(F.lit(1), F.lit(_CHUNK)), empty, inner)
-        done = F.element_at(F.transform(F.array(part), lambda p: F.struct(p["at"].alias("at"), F.concat(acc["parts"], F.array(p["cuts"])).alias("parts"))), 1)
-        return F.when(acc["at"] >= total, acc).otherwise(done)
-
-    start = F.struct(F.lit(0).alias("at"), F.array(F.array(F.lit(0))).alias("parts"))
-    cuts = F.aggregate(chunks, start, outer, lambda acc: F.flatten(acc["parts"]))
-    starts = F.element_at(F.transform(F.array(cuts), lambda c: F.transform(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(1))), lambda a, i: F.struct(
-        a.alias("offset"), F.coalesce(F.get(c, i + 1), a).alias("next_offset")))), 1)
-    walked = F.transform(starts, lambda w: F.struct(
-        w["offset"].cast("long").alias("offset"), w["next_offset"].cast("long").alias("next_offset"),
-        F.substring(content, w["offset"] + 1, w["next_offset"] - w["offset"]).cast("string").alias("text")))
-    return F.when(F.element_at(walked, -1)["next_offset"] == total, walked)
+
+    def walk(content: Column) -> Column:
+        total = F.length(content)
+        most = F.greatest(F.ceil(total / max(size - 3, 1)).cast("int"), F.lit(1))
+
+        def inner(acc: Column, _: Column) -> Column:
+            end = whole_end(content, F.least(acc["at"] + size, total))
+            more = lambda e: F.when(e <= acc["at"], acc).otherwise(F.struct(e.alias("at"), F.concat(acc["cuts"], F.array(e)).alias("cuts")))
+            return F.when(acc["at"] >= total, acc).otherwise(_let(end, more))
+
+        def outer(acc: Column, _: Column) -> Column:
+            empty = F.struct(acc["at"].alias("at"), F.array().cast("array<int>").alias("cuts"))
+            part = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(_CHUNK), most)), empty, inner)
+            done = _let(part, lambda p: F.struct(p["at"].alias("at"), F.concat(acc["parts"], F.array(p["cuts"])).alias("parts")))
+            return F.when(acc["at"] >= total, acc).otherwise(done)
+
+        start = F.struct(F.lit(0).alias("at"), F.array(F.array(F.lit(0))).alias("parts"))
+        cuts = F.aggregate(F.sequence(F.lit(1), F.ceil(most / _CHUNK).cast("int")), start, outer, lambda acc: F.flatten(acc["parts"]))
+
+        def window(c: Column):
+            def at(a: Column, i: Column) -> Column:
+                stop = F.coalesce(F.get(c, i + 1), a)
+                return F.struct(a.cast("long").alias("offset"), stop.cast("long").alias("next_offset"), F.substring(content, a + 1, stop - a).cast("string").alias("text"))
+
+            # a walk that stopped short met a window that can't hold a character
+            whole = F.element_at(c, -1) == total
+            return F.when(whole, F.transform(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(1))), at))
+
+        return _let(cuts, window)
+
+    return _let(F.encode(text, "UTF-8"), walk)
 
 
 def classify(head: Column) -> Column:

@@ -32,8 +32,11 @@ def run_items(items: DataFrame, block, host=None, partitions: int | None = None)
         "tokens_in": F.col(TOKENS_IN) if used else F.lit(0).cast("long"), "tokens_out": F.col(TOKENS_OUT) if used else F.lit(0).cast("long"),
         "events": F.col(EVENTS) if used else F.array().cast(f"array<{EVENT}>"),
     }
-    rows = rows.withColumn("error", error).withColumns({"output": F.when(F.col("error").isNull(), F.to_json(OUTPUT)), "input": F.col("__given"), **more})
-    return rows.drop("__given", "__fits", *ADDED)
+    rows = rows.withColumn("error", error).withColumns({"output": F.when(F.col("error").isNull(), F.to_json(OUTPUT)), **more})
+    # nothing is pushed below this column of no meaning, and so no check or run is copied into a filter
+    rows = rows.withColumn("__here", F.spark_partition_id() >= 0)
+    kept = {c: F.when(F.col("__here"), F.col(c)) for c in ("output", "error", "tokens_in", "tokens_out", "events")}
+    return rows.withColumns({"input": F.col("__given"), **kept}).drop("__given", "__fits", "__here", *ADDED)
 
 
 def run_fanout(ledger: Ledger, job_id: str, node: str, items: DataFrame, digest: str, block, host=None, partitions: int | None = None) -> tuple[dict, dict]:
