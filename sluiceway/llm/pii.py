@@ -92,15 +92,24 @@ def upper_limit(n: Column) -> Column:
     return m * F.pow(1 - 1 / (9 * m) + LIMIT / (3 * F.sqrt(m)), F.lit(3.0))
 
 
-def revealing(rows: DataFrame, named: DataFrame, holds: DataFrame, n: int, disclosed: float) -> DataFrame:
+def sized_entities(named: DataFrame, n: int) -> DataFrame:
+    """(id, entity, n_e) of the entities that not all of the n texts name.
+
+    What a term tells of an entity that one text alone names depends on the term only; so these entities of a
+    text are one.
+    """
+    n_e = named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") < n)
+    one = F.when(F.col("n_e") == 1, F.concat(F.lit("only in "), F.col("id").cast("string"))).otherwise(F.col("entity"))
+    return named.join(n_e, "entity").select("id", one.alias("entity"), "n_e").distinct()
+
+
+def revealing(rows: DataFrame, sized: DataFrame, holds: DataFrame, n: int, disclosed: float) -> DataFrame:
     """(term, entity, share): the share of the entity's information that the term tells, where its lower bound exceeds ``disclosed``.
 
-    ``rows`` are (id, text) of the corpus, ``named`` (id, entity) and ``holds`` (id, term) of the texts with entities.
+    ``rows`` are (id, text) of the corpus, ``sized`` (id, entity, n_e) and ``holds`` (id, term) of the texts with entities.
     """
     total = F.lit(float(n))
     bits = lambda n_te, n_t, n_e: F.log2(n_te * total / (n_t * n_e))
-    n_e = named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") < n)
-    sized = stored(named.join(n_e, "entity"), "pii-named")
     n_near = holds.groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     # at best a term stands in every text that names the text's least informative entity
     least = sized.groupBy("id").agg(F.max("n_e").alias("top"))
@@ -134,14 +143,15 @@ def found_in(rows: DataFrame, disclosed: float = DISCLOSED) -> DataFrame:
     spanned = rows.select("doc_id", *LOCATOR, "text", F.array_sort(each).alias("base"))
     # a word inside a base span is part of that entity, not a term
     rest = F.when(F.size("base") > 0, blanked(F.col("text"), F.col("base")))
-    found = stored(spanned.select("doc_id", *LOCATOR, F.xxhash64("text").alias("id"), "base", rest.alias("rest")), "pii-spans")
+    found = stored(spanned.select("doc_id", *LOCATOR, F.xxhash64("text").alias("id"), "base", rest.alias("rest")), "pii-spans", "zstd")
     n = found.select("id").distinct().count()
     near = found.where(F.col("rest").isNotNull())
     entity = F.concat_ws(":", "b.kind", F.lower("b.x")).alias("entity")
     named = stored(near.select("id", F.explode("base").alias("b")).select("id", entity).distinct(), "pii-entities")
-    holds = stored(held_terms(near, "rest").distinct(), "pii-holds")
-    told = revealing(rows.select(F.xxhash64("text").alias("id"), "text"), named, holds, n, disclosed)
-    told = holds.join(told, "term").join(named, ["id", "entity"]).groupBy("id", "term").agg(F.max("share").alias("share"))
+    sized = stored(sized_entities(named, n), "pii-sized")
+    holds = stored(held_terms(near, "rest").distinct(), "pii-holds", "zstd")
+    told = revealing(rows.select(F.xxhash64("text").alias("id"), "text"), sized, holds, n, disclosed)
+    told = holds.join(told, "term").join(sized.select("id", "entity"), ["id", "entity"]).groupBy("id", "term").agg(F.max("share").alias("share"))
     told = told.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("share") >= TOTAL))).alias("told"))
     # few texts, much work on each: dealt out evenly rather than by their bytes
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
