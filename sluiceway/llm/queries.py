@@ -123,11 +123,11 @@ WITH dw AS (
 ), rk AS (
   SELECT item_id, t.w, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(df, 0), t.w) AS r, count(*) OVER (PARTITION BY item_id) AS m
   FROM (SELECT DISTINCT item_id, unnest(ws) AS w FROM bw) t LEFT JOIN (SELECT w, count(*) AS df FROM tok GROUP BY 1) f ON f.w = t.w
-), at AS (
+), placed AS (
   SELECT doc_id, item_id, pos, rk.w, least(m, 3) AS needed FROM tok JOIN rk ON rk.w = tok.w AND r <= 3
 ), near AS (
   SELECT DISTINCT a.doc_id, a.item_id::varchar AS i
-  FROM at a JOIN at b ON b.doc_id = a.doc_id AND b.item_id = a.item_id AND b.pos BETWEEN a.pos AND a.pos + 20
+  FROM placed a JOIN placed b ON b.doc_id = a.doc_id AND b.item_id = a.item_id AND b.pos BETWEEN a.pos AND a.pos + 20
   GROUP BY a.doc_id, a.item_id, a.pos, a.needed HAVING count(DISTINCT b.w) = a.needed
 ), nit AS (
   SELECT doc_id, count(*) AS n_near, string_agg(i, ',' ORDER BY i) AS ids FROM near GROUP BY 1
