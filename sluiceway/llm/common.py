@@ -51,10 +51,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete what the operators have put in the shared folder so far; results not yet written out become unreadable."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+def scratch_so_far() -> int:
+    """How many scratch tables this process has written; a mark for ``drop_scratch``."""
+    return len(_WRITTEN)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete what the operators have put in the shared folder since a mark, but for the last ``keep`` tables.
+
+    Results not yet written out become unreadable.
+    """
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    del _WRITTEN[since : len(_WRITTEN) - keep]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
