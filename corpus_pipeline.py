@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluiceway.llm.common import stored, table
+from sluiceway.llm.common import drop_scratch, scratch_so_far, stored, table
 from sluiceway.llm.decontaminate import drop_contaminated
 from sluiceway.llm.exact_dedup import drop_copies
 from sluiceway.llm.mixing import mixed_documents
@@ -58,7 +58,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), scratch_so_far()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_scratch(spark, mark, keep=1)  # nothing reads the stage's own tables and input any more
     return docs
