@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -89,7 +90,7 @@ class Http:
     def answer(self, prompt: str, max_tokens: int, images: list | None = None, on_token=None) -> dict:
         body = {"model": self.model, "prompt": prompt, "stream": True, "options": {"num_predict": max_tokens}}
         if images:
-            body["images"] = images
+            body["images"] = [base64.b64encode(x).decode() for x in images]
         request = urllib.request.Request(f"{self.url}/api/generate", json.dumps(body).encode(), {"Content-Type": "application/json"})
         with urllib.request.urlopen(request, timeout=self.timeout) as reply:
             return read_stream(iter(lambda: reply.read1(8192), b""), on_token)

@@ -1,5 +1,8 @@
 import base64
+import http.server
+import json
 import os
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 from sluiceway.functions import pdf
 from sluiceway.functions import text as tx
 from sluiceway.functions.schema import violations, violations_column
+from sluiceway.operators.host import Host
 from sluiceway.operators.infer import Http, Registry, Stub, Unsupported, infer, read_stream
 from sluiceway.sources import files as fs
 
@@ -143,3 +147,36 @@ def test_inference(spark):
         registry.resolve("llamacpp", "x")
     with pytest.raises(Unsupported, match="stub"):
         registry.resolve("none", "x")
+
+
+class Model(http.server.BaseHTTPRequestHandler):
+    """Answers with what it was asked, in pieces, as a stream of JSON lines."""
+
+    def do_POST(self):
+        asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        said = f"{asked['prompt']}|{asked['options']['num_predict']}|{','.join(asked.get('images', []))}"
+        self.send_response(200)
+        self.end_headers()
+        for piece in said.split("|"):
+            self.wfile.write(json.dumps({"response": piece + ";"}).encode() + b"\n")
+            self.wfile.flush()
+        self.wfile.write(b'{"done": true, "prompt_eval_count": 7, "eval_count": 3}\n')
+
+    def log_message(self, *args):
+        pass
+
+
+def test_http_backend(spark):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        backend = Http("m", f"http://127.0.0.1:{server.server_port}", vision=True)
+        session = Host(backend).session()
+        image = session.register(b"GIF89a")["handle"]
+        heard = []
+        assert session.infer("hi é", 5, [image], lambda t: heard.append(t) or True) == {"text": "hi é;5;R0lGODlh;", "tokens_out": 3}
+        assert heard == ["hi é;", "5;", "R0lGODlh;"] and (session.tokens_in, session.tokens_out) == (7, 3)
+        prompts = spark.createDataFrame([(f"p{i}",) for i in range(5)], "prompt string")
+        assert sorted(r["answer"]["text"] for r in infer(prompts, backend, max_tokens=2).collect()) == [f"p{i};2;;" for i in range(5)]
+    finally:
+        server.shutdown()
