@@ -1,15 +1,15 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index stores one posting (row, term, position) for every token of the training texts, whatever
-the test items hold, so other test sets can be matched against the same index. Terms are 64-bit
-hashes of words. It is a table in the shared folder, written in one pass over the texts, and it also
+The index stores one posting (row, term, position, term that follows) for every token of the
+training texts, whatever the test items hold, so other test sets can be matched against the same
+index. Terms are 64-bit hashes of words. It is a table in the shared folder, written in one pass over the texts, and it also
 carries each row's number of words.
 
 Every window of a test item (13 consecutive words, or the whole item if it is shorter) starts from
-its rarest term, by postings. The postings of these anchor terms, adjusted by the term's offset in
-the item, give candidate alignments (row, item, shift); these are then intersected with the offset
-adjusted lists of the item's other terms, for which only the postings of rows with a candidate are
-read on. Runs of matched offsets as long as the window are exact phrase matches. A proximity match
+its rarest term, by postings, that isn't its last. The postings of these anchor terms that are followed
+as in the item, adjusted by the term's offset there, give candidate alignments (row, item, shift);
+these are then intersected with the offset adjusted lists of the item's other terms, for which only
+the postings of rows with a candidate are read on. Runs of matched offsets as long as the window are exact phrase matches. A proximity match
 is a place where an item's rarest terms all stand close, in any order.
 
 Defined results: null text has no words; a row without words is never contaminated; items without
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluiceway.llm.common import LOCATOR, WHOLE, kept_columns, located, stored, words
+from sluiceway.llm.spans import let
 
 WINDOW = 13
 NEAR_TERMS, SLOP = 3, 20  # a proximity match: so many rarest terms within so many words
@@ -36,7 +37,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 class TestItems:
-    """Test items by their words: items (item, ws, ids) and item_words (item, n, ipos, word, term)."""
+    """Test items by their words: items (item, ws, ids) and item_words (item, n, ipos, word, term, following)."""
 
     __test__ = False
 
@@ -48,16 +49,20 @@ class TestItems:
             .agg(F.collect_set("id").alias("ids"))
         )
         self.items = stored(by_words.select(F.monotonically_increasing_id().alias("item"), "ws", "ids"), "items")
-        spelled = self.items.select("item", F.size("ws").alias("n"), F.posexplode("ws").alias("ipos", "word"))
-        self.item_words = stored(spelled.withColumn("term", F.xxhash64("word")), "item-words")
+        pairs = F.transform("ws", lambda w, i: F.struct(w.alias("word"), F.get("ws", i + 1).alias("after")))
+        spelled = self.items.select("item", F.size("ws").alias("n"), F.posexplode(pairs).alias("ipos", "w")).select("item", "n", "ipos", "w.*")
+        following = F.when(F.col("after").isNotNull(), F.xxhash64("after"))
+        self.item_words = stored(spelled.select("item", "n", "ipos", "word", F.xxhash64("word").alias("term"), following.alias("following")), "item-words")
         self.n_words = self.item_words.count()
         self.terms = _small(self.item_words.select("term").distinct(), self.n_words)
 
 
 def build_index(rows: DataFrame) -> DataFrame:
-    """Postings (LOCATOR, term, pos) of every token of located ``rows``, stored; the posting without a term ends a row."""
-    terms = F.concat(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)), F.array(F.lit(None).cast("long")))
-    return stored(rows.select(*LOCATOR, F.posexplode(terms).alias("pos", "term")), "postings", "zstd")
+    """Postings (LOCATOR, pos, term, next) of every token of located ``rows``, stored; the posting without a term ends a row."""
+    none = F.lit(None).cast("long")
+    hashes = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
+    postings = let(F.concat(hashes, F.array(none)), lambda h: F.transform(h, lambda x, i: F.struct(x.alias("term"), F.get(h, i + 1).alias("next"))))
+    return stored(rows.select(*LOCATOR, F.posexplode(postings).alias("pos", "p")).select(*LOCATOR, "pos", "p.*"), "postings", "zstd")
 
 
 def frequencies(index: DataFrame, items: TestItems) -> DataFrame:
@@ -66,14 +71,16 @@ def frequencies(index: DataFrame, items: TestItems) -> DataFrame:
 
 
 def anchors(frequency: DataFrame, items: TestItems, window: int) -> DataFrame:
-    """(item, ipos, term) of the rarest term of every window that can occur."""
-    ahead = Window.partitionBy("item").orderBy("ipos").rowsBetween(0, window - 1)
+    """(item, ipos, term, following) of the rarest term of every window that can occur; its follower lies in the window too."""
+    ahead = Window.partitionBy("item").orderBy("ipos").rowsBetween(0, max(window - 2, 0))
+    last = (F.col("n") > 1) & (F.col("ipos") == F.col("n") - 1)
+    within = F.when((F.col("n") > 1) & (F.lit(window) > 1), F.col("following"))
     return (
         items.item_words.join(frequency, "term", "left")
-        .withColumn("rarest", F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "ipos", "term")).over(ahead))
+        .withColumn("rarest", F.min(F.struct(last.alias("last"), F.coalesce("df", F.lit(0)).alias("df"), "ipos", "term", within.alias("following"))).over(ahead))
         .where(F.col("ipos") <= F.greatest(F.col("n") - window, F.lit(0)))
         .where("rarest.df > 0")
-        .select("item", "rarest.ipos", "rarest.term")
+        .select("item", "rarest.ipos", "rarest.term", "rarest.following")
         .distinct()
     )
 
@@ -83,6 +90,7 @@ def phrases(index: DataFrame, items: TestItems, frequency: DataFrame, window: in
     first = stored(anchors(frequency, items, window), "anchors")
     shifted = stored(
         index.join(_small(first, items.n_words), "term")
+        .where(F.col("following").isNull() | (F.col("following") == F.col("next")))
         .select(*LOCATOR, "item", (F.col("pos") - F.col("ipos")).alias("shift"))
         .distinct(),
         "alignments",
@@ -92,7 +100,7 @@ def phrases(index: DataFrame, items: TestItems, frequency: DataFrame, window: in
     expected = shifted.join(_small(items.item_words, items.n_words), "item").select(
         *LOCATOR, "item", "shift", "ipos", "n", "term", (F.col("shift") + F.col("ipos")).alias("pos")
     ).where("pos >= 0")
-    met = expected.join(read, [*LOCATOR, "pos", "term"])
+    met = expected.join(read.drop("next"), [*LOCATOR, "pos", "term"])
     met = met.groupBy(*LOCATOR, "item", "shift").agg(F.array_sort(F.collect_list("ipos")).alias("at"), F.first("n").alias("n"))
     size = F.least(F.col("n"), F.lit(window))
     starts = F.filter(F.col("at"), lambda p, i: F.get(F.col("at"), i + size - 1) == p + size - 1)
