@@ -32,7 +32,7 @@ from sluiceway.deploy import send_package
 from sluiceway.llm.common import WHOLE, kept_columns, stored
 from sluiceway.llm.langid import bounded_sample
 
-MAX_ROWS, CACHE = 20_000, 200_000
+MAX_ROWS, CACHE, HELD = 20_000, 200_000, 50_000
 FOLDS, MIN_SUPPORT, MIN_Z = 4, 4, 4.0
 STEMS = range(3, 9)
 WORD = re.compile(r"[^\W_]+(?:[@$!*][^\W_]+)*")
@@ -223,11 +223,15 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         return Model({}, None, (np.zeros(1), np.zeros(1)), n_pos / n if n else 0.0)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        frame = lambda: pd.DataFrame([(*key, k) for key, k in seen.items()], columns=["entry", "fold", "toxic", "k"])
         for batch in batches:
-            seen: Counter = Counter()
             for text, toxic, at in batch[["text", "toxic", "fold"]].itertuples(index=False):
                 seen.update((e, at, toxic) for e in entries_of(set(WORD.findall((text or "").lower()))))
-            yield pd.DataFrame([(*key, k) for key, k in seen.items()], columns=["entry", "fold", "toxic", "k"])
+                if len(seen) > HELD:  # counts are added up later: a task holds only so many
+                    yield frame()
+                    seen.clear()
+        yield frame()
 
     per_fold = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == v), F.col("k")).otherwise(0)).alias(f"k{f}_{v}") for f in range(FOLDS) for v in (0, 1)]
     seen = sample.mapInPandas(counted, "entry string, fold int, toxic int, k long").groupBy("entry").agg(*per_fold)
