@@ -35,7 +35,7 @@ from sluiceway.llm.common import stored
 LETTERS = re.compile(r"[^\W\d_]+")
 LENGTHS = (4, 3, 2, 1)
 UNKNOWN = "und"
-MAX_ROWS, LEAST_ROWS, CACHE, GROUP = 16_000, 250, 300_000, 64
+MAX_ROWS, LEAST_ROWS, CACHE, GROUP, HELD = 16_000, 250, 300_000, 64, 20_000
 _SPAN = 1 << 30
 
 
@@ -169,10 +169,9 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     sizes, sample = stratified_sample(rows, max_rows)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            by: dict[str, Counter] = {}
-            for text, lang in zip(batch["text"], batch["lang"], strict=True):
-                by.setdefault(lang, Counter()).update(split_words(text))
+        by: dict[str, Counter] = {}
+
+        def frame() -> pd.DataFrame:
             out: Counter = Counter()
             for lang, seen in by.items():
                 for word, k in seen.items():
@@ -180,7 +179,15 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Model:
                     for n in LENGTHS:
                         for g in grams(word, n):
                             out[lang, n, g] += k
-            yield pd.DataFrame([(*key, k) for key, k in out.items()], columns=["lang", "n", "gram", "k"])
+            return pd.DataFrame([(*key, k) for key, k in out.items()], columns=["lang", "n", "gram", "k"])
+
+        for batch in batches:
+            for text, lang in zip(batch["text"], batch["lang"], strict=True):
+                by.setdefault(lang, Counter()).update(split_words(text))
+                if sum(map(len, by.values())) > HELD:  # counts are added up later: a task holds only so many
+                    yield frame()
+                    by.clear()
+        yield frame()
 
     partial = sample.select("text", "lang").mapInPandas(counted, "lang string, n int, gram string, k long")
     # the sample bounds what comes to the driver
