@@ -26,6 +26,8 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,22 +192,28 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         yield frame()
 
     partial = sample.select("text", "lang").mapInPandas(counted, "lang string, n int, gram string, k long")
-    # the sample bounds what comes to the driver
-    return fitted(partial.groupBy("lang", "n", "gram").agg(F.sum("k").alias("k")).toPandas(), {r["lang"]: r["n"] for r in sizes.collect()})
+    # the sample bounds what comes to the driver, and it comes as columns: an object for each count would take many times as much
+    counts = partial.groupBy("lang", "n", "gram").agg(F.sum("k").alias("k")).toArrow()
+    return fitted(counts, {r["lang"]: r["n"] for r in sizes.collect()})
 
 
-def fitted(counts: pd.DataFrame, sizes: dict[str, int]) -> Model:
+def fitted(counts: pa.Table, sizes: dict[str, int]) -> Model:
     """The model of counts (lang, n, gram, k), n being 0 for words, of languages with so many rows each."""
     languages = sorted(sizes)
-    place = {x: i for i, x in enumerate(languages)}
     tables: dict[int, tuple[list[str], np.ndarray]] = {}
     for n in (0, *LENGTHS):
-        part = counts[counts["n"] == n]
-        names, row = np.unique(part["gram"].to_numpy(dtype=str), return_inverse=True)
-        k = np.zeros((len(names), len(languages)))
-        k[row, part["lang"].map(place).to_numpy(dtype=int)] = part["k"]
-        logs = np.log((k + 0.5) / (k.sum(axis=0) + 0.5 * max(1, len(k))))
-        tables[n] = names.tolist(), logs - logs.mean(axis=1, keepdims=True) if languages else logs
+        part = counts.filter(pc.equal(counts["n"], n))
+        coded = pc.dictionary_encode(part["gram"].cast(pa.large_string()).combine_chunks())
+        lang = pc.index_in(part["lang"], pa.array(languages, part["lang"].type))
+        logs = np.zeros((len(coded.dictionary), len(languages)))
+        logs[coded.indices.to_numpy(), lang.to_numpy()] = part["k"].to_numpy()
+        total = logs.sum(axis=0) + 0.5 * max(1, len(logs))
+        logs += 0.5
+        logs /= total
+        np.log(logs, out=logs)
+        if languages:
+            logs -= logs.mean(axis=1, keepdims=True)
+        tables[n] = coded.dictionary.to_pylist(), logs
     prior = np.log(np.array([sizes[x] for x in languages], dtype=float))
     return Model(languages, prior - prior.mean() if languages else prior, tables)
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -80,6 +81,22 @@ def test_language_counts_against_brute_force(spark):
     assert np.allclose(np.diff(model.prior), np.log([30 / 31, 1 / 30]))
 
 
+def test_training_holds_little_on_the_driver(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9)))
+    rows = [(i, " ".join(word() for _ in range(60)), "xy"[i % 2]) for i in range(400)] + [(400, "ab" * 1_000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    tracemalloc.start()
+    try:
+        model = langid.train(docs)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    names = [x for kept, _ in model.tables.values() for x in kept]
+    assert len(names) > 50_000 and "ab" * 1_000 in names  # one long word doesn't widen the others
+    assert most < 300 * len(names)
+
+
 def test_rare_and_mixed_languages(spark):
     rng = random.Random(8)
     stems = {"aa": "kilomno", "bb": "pqrstue", "zz": "vwxyzgh"}
