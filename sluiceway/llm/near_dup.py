@@ -34,6 +34,7 @@ from sluiceway.llm.common import FILE, LOCATOR, ROW, WHOLE, first_row, kept_colu
 SHINGLE, THRESHOLD = 5, Fraction(4, 5)
 TREES, MAX_DEPTH, TARGET_RECALL = 20, 8, 0.9999
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1_000_000
+RANGE_SHINGLES = 200_000  # what a worker sorts, or hands over, at once
 BROADCAST_ROWS = 300_000
 SALTS = 16  # parts of a hot key in joins
 #: Bytes of words stand for themselves, A-Z for a-z, and all others for a space.
@@ -84,6 +85,20 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
+def shingle_pieces(texts: pd.Series) -> Iterator[pd.Series]:
+    """The shingles of texts in order, no more than a bounded number and a text's at once."""
+    held: list[np.ndarray] = []
+    total = 0
+    for text in texts:
+        held.append(shingles(text).view(np.int64))
+        total += len(held[-1])
+        if total >= RANGE_SHINGLES:
+            yield pd.Series(held, dtype=object)
+            held, total = [], 0
+    if held:
+        yield pd.Series(held, dtype=object)
+
+
 def tree_keys(sets: np.ndarray, trees: int, depth: int) -> np.ndarray:
     """For each tree, a key of the first ``depth`` MinHash values of a set."""
     mult = multipliers(trees * depth, 29)
@@ -111,6 +126,17 @@ def signatures(rows: DataFrame, trees: int, depth: int) -> DataFrame:
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of different sorted sets; the diagonal has no meaning."""
+    m = len(sets)
+    out = np.zeros((m, m))
+    parts = -(-sum(map(len, sets)) // RANGE_SHINGLES)  # ranges of hash values, one held at a time
+    bounds = np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)
+    cuts = [[0, *np.searchsorted(s, bounds).tolist(), len(s)] for s in sets]
+    for k in range(parts):
+        _add_intersections(out, [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)])
+    return out.astype(np.int64)
+
+
+def _add_intersections(out: np.ndarray, sets: list[np.ndarray]) -> None:
     m = len(sets)
     columns, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
@@ -119,14 +145,12 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     col, row = shared[inverse[keep]], owner[keep]
     order = np.argsort(col, kind="stable")
     col, row = col[order], row[order]
-    out = np.zeros((m, m))
     width = 4096
     for at in range(0, int(col[-1]) + 1 if len(col) else 0, width):
         a, b = np.searchsorted(col, [at, at + width])
         dense = np.zeros((m, min(width, int(col[-1]) + 1 - at)), dtype=np.float32)
         dense[row[a:b], col[a:b] - at] = 1
         out += dense @ dense.T
-    return out.astype(np.int64)
 
 
 def verify_task(tree: int, cross: bool, blocks: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, threshold: Fraction):
@@ -264,7 +288,7 @@ def classes_of(rows: DataFrame, threshold: Fraction = THRESHOLD, trees: int = TR
     @F.pandas_udf("array<long>")
     def shingled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([shingles(t).view(np.int64) for t in texts], dtype=object)
+            yield from shingle_pieces(texts)
 
     sets = rows.select("text", *LOCATOR).join(wanted, list(LOCATOR)).select("set_id", "keys", "copies", shingled(F.col("text").cast("string")).alias("shingles"))
     found = stored(verified(tasks.join(sets, "set_id"), threshold), "links")

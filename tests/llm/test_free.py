@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,6 +292,30 @@ def test_intersections(n):
     assert (near_dup.intersections(sets) == want)[~np.eye(n, dtype=bool)].all()
 
 
+def test_verification_holds_a_bounded_range():
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 1 << 64, 5000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common[: 500 * i], rng.integers(0, 1 << 64, 100_000, dtype=np.uint64)])) for i in range(10)]
+    tracemalloc.start()
+    try:
+        got = near_dup.intersections(sets)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    want = 500 * np.minimum.outer(np.arange(10), np.arange(10))
+    assert (got == want)[~np.eye(10, dtype=bool)].all()
+    assert most < 3 * sum(s.nbytes for s in sets)
+
+
+def test_shingles_are_handed_over_in_pieces(monkeypatch):
+    monkeypatch.setattr(near_dup, "RANGE_SHINGLES", 50)
+    texts = [" ".join(f"w{i}x{j}" for j in range(10 * (i % 4))) or None for i in range(40)]
+    pieces = list(near_dup.shingle_pieces(pd.Series(texts)))
+    assert len(pieces) > 5 and all(sum(map(len, p)) < 50 + 30 for p in pieces)
+    got = [x for p in pieces for x in p]
+    assert len(got) == 40 and all((x.view(np.uint64) == near_dup.shingles(t)).all() for x, t in zip(got, texts, strict=True))
+
+
 def test_components(spark):
     chain = [(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("a", "b"), ("c", "b"), ("z", "z")]
     got = {r["node"]: r["root"] for r in near_dup.components(spark.createDataFrame(chain, "a string, b string")).collect()}
